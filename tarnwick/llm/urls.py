@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 # Verdict, host, path.
 RULES = [
@@ -74,7 +74,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     met = expressions.join(rules, "short").filter("full = r_full")
     rank = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("verdict") == "block").cast("int").alias("b"))
     best = met.groupBy("host", "head").agg(F.max(F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("head").alias("b_head"), "best.rule", "best.verdict")
+    # Written, so that the join below meets it as a table of known size: sent to all if small, else a hot host's rows are split.
+    best = written(best.select(F.col("host").alias("b_host"), F.col("head").alias("b_head"), "best.rule", "best.verdict"), "url-verdicts")
     out = named.join(best, (F.col("host") == F.col("b_host")) & (F.col("head") == F.col("b_head")), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
