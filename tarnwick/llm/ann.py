@@ -27,7 +27,9 @@ SAMPLE, MAX_LISTS = 20_000, 16_384
 #: Vectors that every query is compared with before it probes.
 PRIMER = 2048
 #: Vectors that one task scans (neighbouring lists, or a part of a large one), and queries that it scans them for.
-LIST_BLOCK, QUERY_BLOCK = 8192, 512
+LIST_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Queries that a task scans for at a time: bounds the matrix of first partial distances.
+SCAN_QUERIES = 256
 #: Queries probe as many lists as gave this recall for TUNED vectors of the sample.
 RECALL, TUNED = 0.97, 256
 #: Columns read between tests, and the test's significance (larger: fewer wrong drops).
@@ -235,15 +237,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         vid, qid = vs["vid"].to_numpy(), qs["qid"].to_numpy()
         ids, scores, asking = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         if len(x) and len(q):
-            own = qs["lists"].combine_chunks()
-            member = np.zeros((len(q), lists), bool)
-            member[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = True
-            rotated = np.asfortranarray(augment(x, longest) @ turn)
-            allowed = member[:, vs["list"].to_numpy()]
-            qi, vi = scan(np.column_stack([q, np.zeros(len(q))]) @ turn, rotated, qs["bound"].to_numpy(), k + 1, allowed)
-            scores = np.concatenate([np.einsum("ij,ij->i", q[qi[s : s + 65_536]], x[vi[s : s + 65_536]]) for s in range(0, len(qi), 65_536)]) if len(qi) else scores
-            at = _top(qi, vid[vi], scores, k + 1)
-            asking, ids, scores = qid[qi[at]], vid[vi[at]], scores[at]
+            own, home, bound = qs["lists"].combine_chunks(), vs["list"].to_numpy(), qs["bound"].to_numpy()
+            rotated, turned = np.asfortranarray(augment(x, longest) @ turn), np.column_stack([q, np.zeros(len(q))]) @ turn
+            found = []
+            for s in range(0, len(q), SCAN_QUERIES):
+                some = own.slice(s, SCAN_QUERIES)
+                member = np.zeros((len(some), lists), bool)
+                member[np.repeat(np.arange(len(some)), some.value_lengths().to_numpy()), some.flatten().to_numpy()] = True
+                qi, vi = scan(turned[s : s + SCAN_QUERIES], rotated, bound[s : s + SCAN_QUERIES], k + 1, member[:, home])
+                dots = [np.einsum("ij,ij->i", q[qi[t : t + 65_536] + s], x[vi[t : t + 65_536]]) for t in range(0, len(qi), 65_536)]
+                dots = np.concatenate(dots) if dots else scores
+                at = _top(qi, vid[vi], dots, k + 1)
+                found.append((qid[qi[at] + s], vid[vi[at]], dots[at]))
+            asking, ids, scores = map(np.concatenate, zip(*found, strict=True))
         return pa.table({"qid": asking, "vid": ids, "score": scores})
 
     keys = ["shelf", "v", "q"]

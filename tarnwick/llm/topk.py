@@ -21,7 +21,7 @@ from .blocks import best, matrix, usable
 from .common import prepare, table, written
 
 #: Rows of a shard, queries that one task asks it, and rows that prime each query's threshold.
-SHARD, QUERY_BLOCK, PRIMER = 8192, 1024, 2048
+SHARD, QUERY_BLOCK, PRIMER = 8192, 4096, 2048
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
