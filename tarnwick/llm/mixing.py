@@ -150,16 +150,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() says; rows equal in id, text and source share their copies."""
     per = mix(docs, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     per = written(per, "mix-copies")
-    key = ["_key", "_id", "_hash", "_source"]
     per = per.select(F.xxhash64("doc_id", "text_hash", "source").alias("_k"), F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), "_sum", "_rows")
-    rows = docs.withColumn("_hash", F.xxhash64("text")).withColumns({"_id": F.col("doc_id"), "_source": F.col("source")}).withColumn("_key", F.xxhash64("_id", "_hash", "_source"))
+    # Each row travels as one struct, so that no column of docs can clash with those here.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_hash"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    rows = rows.withColumn("_key", F.xxhash64("_id", "_hash", "_source"))
     same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h"))
     # The key alone deals the rows out; the rest only guards against its collisions.
     out = rows.join(per.filter("_sum > 0"), same)
     if not per.filter("_rows > 1").isEmpty():
-        out = out.dropDuplicates(key)
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_sum").cast("int"))))
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["_key", "_id", "_hash", "_source"])
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_sum").cast("int")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

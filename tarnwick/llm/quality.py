@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import prepare, table
 
@@ -86,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     order = F.xxhash64(F.col("doc_id"), F.lit(10))
     picked = train.filter("y = 0").orderBy(order, "doc_id").limit(sample).union(train.filter("y = 1").orderBy(order, "doc_id").limit(sample))
     picked = F.broadcast(picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "y"))
-    rows = docs.join(picked, docs["doc_id"] == F.col("_id")).select("_id", F.xxhash64("_id", F.lit(11)).alias("h"), "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("_id", F.xxhash64("_id", F.lit(11)).alias("h"), "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = sorted(((r["h"], r["_id"], r["y"], (r["text"] or "").encode()) for r in rows.collect()), key=lambda r: r[:2])
     half = [[r for r in rows if r[2] == y][::2] for y in (0, 1)]
     rest = [r for y in (0, 1) for r in [r for r in rows if r[2] == y][1::2]]
@@ -104,36 +105,35 @@ def _scores(model: dict):
     def run(batches):
         measure = Measure(model["good"], model["bad"]) if model["good"] else None
         for b in batches:
-            x = np.array([measure(t.as_py()) if measure and t.is_valid else (0.0, 0.0) for t in b.column(b.num_columns - 1)]).reshape(-1, 2)
+            x = np.array([measure(t.as_py()) if measure and t.is_valid else (0.0, 0.0) for t in b.column(1)]).reshape(-1, 2)
             score = 1 / (1 + np.exp(-np.clip(model["weights"][0] + x @ model["weights"][1:], -700, 700)))
-            names = b.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["row", "score"])
 
     return run
 
 
 def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and _score, the probability that the quality is 1; only the text goes into it.
+    """Rows (row, score): a struct of the columns `keep`, and the probability that the quality is 1; only the text goes into it.
 
     Whole texts are read.  Null and empty texts get the score of a size
     difference of 0; repeated rows score alike; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("_data"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_scores(model), f"{schema}, _score double")
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("binary").alias("data"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    return rows.mapInArrow(_scores(model), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    rows = scored(docs, fit(docs, labels), ["doc_id"])
+    rows = scored(docs, fit(docs, labels), ["doc_id"]).select("row.doc_id", "score")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return rows.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier predicts to be good."""
-    return scored(docs, fit(docs, labels), docs.columns).filter("_score >= 0.5").select(*docs.columns)
+    return scored(docs, fit(docs, labels), docs.columns).filter("score >= 0.5").select("row.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -266,11 +266,12 @@ def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     keep = found.groupBy("component_id", alone.alias("alone")).agg(best.alias("k"))
     keep = written(keep.select(F.xxhash64("k.doc_id", "k.text_hash").alias("_k"), F.col("k.doc_id").alias("_i"), F.col("k.text_hash").alias("_h")), "simhash-kept")
-    rows = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_id", F.col("doc_id")).withColumn("_key", F.xxhash64("_id", "_hash"))
+    # Each row travels as one struct, so that no column of docs can clash with those here.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_hash"), F.col("doc_id").alias("_id")).withColumn("_key", F.xxhash64("_id", "_hash"))
     kept = rows.join(keep, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
     if not found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_key", "_id", "_hash"])
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
