@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import sys
 import zlib
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import prepare, ranked, table, written
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
+#: Steps that an enumeration of fillings may take, from start to start of a large search.
+WIDTHS = (20, 60, 150, 400, 1_000, 3_000)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -64,10 +67,11 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, n) for room in groups.values() for p, n in room.items()]
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, limit: int):
-    """Undominated sets of the lengths left that fill `room` up to at most `waste`, fullest first.
+def fillings(counts: dict[int, int], room: int, waste: int, limit: int, enough: bool = False) -> list[Pattern]:
+    """Undominated sets of the lengths left that fill `room` up to at most `waste`, fullest first, then those of longer pieces.
 
-    Dropped: those that a length left still fits into, and those in which one
+    At most `limit` steps are taken, or, if `enough`, until a set leaves no
+    waste.  Dropped: those that a length left still fits into, and those in which one
     piece, or two, could give way to a larger one that fits their place.
     """
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
@@ -83,6 +87,8 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int):
         if i == len(lengths):
             if left <= waste:
                 found.append((left, tuple(chosen)))
+                if enough and not left:
+                    budget[0] = -1
             return
         for j in range(i, len(lengths)):
             if budget[0] < 0 or left - reach[j] > waste:
@@ -108,63 +114,66 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int):
                 return True
         return False
 
-    return [c for left, c in sorted(found) if not dominated(left, c)]
+    found.sort(key=lambda f: (f[0], [(-x, -k) for x, k in f[1]]))
+    return [c for left, c in found if not dominated(left, c)]
 
 
-def complete(counts: dict[int, int], capacity: int, effort: int = 20_000) -> list[tuple[Pattern, int]]:
+def complete(counts: dict[int, int], capacity: int, effort: int = 12_000) -> list[tuple[Pattern, int]]:
     """Patterns that hold all pieces of the histogram in as few sequences as the search finds.
 
-    effort: how many nodes the search may visit; small instances are solved to
-    optimality within it, large ones keep the best incumbent.  When pieces are
-    many (over 200), a pattern is repeated as often as its lengths last, each
-    node also completes its partial solution by best fit, and counts as 200.
+    effort: how many nodes the search may visit.  Up to 200 pieces, a pattern is
+    taken once at a time and all undominated fillings are tried: optimal within
+    the effort.  Beyond, a pattern is repeated as often as its lengths last,
+    nodes along the way complete their partial solutions by best fit, and the
+    search starts anew with wider enumerations, sharing the effort.
     """
     counts = {x: n for x, n in counts.items() if n}
-    best = [best_fit(counts, capacity)]
-    total, number = sum(x * n for x, n in counts.items()), sum(counts.values())
+    best = best_fit(counts, capacity)
+    size, number = sum(n for _, n in best), sum(counts.values())
+    total, many = sum(x * n for x, n in counts.items()), number > 200
     bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    size = [sum(n for _, n in best[0])]
-    nodes = [effort]
-
-    def search(left: dict[int, int], used: int, wasted: int, chosen: list) -> None:
-        nodes[0] -= 1 if number <= 200 else 200
-        if nodes[0] < 0 or size[0] <= bound:
-            return
-        live = {x: n for x, n in left.items() if n}
-        if not live:
-            if used < size[0]:
-                size[0], best[0] = used, list(chosen)
+    nodes = 0
+
+    def better(solution: list[tuple[Pattern, int]]) -> None:
+        nonlocal best, size
+        n = sum(n for _, n in solution)
+        if n < size:
+            best, size = list(solution), n
+
+    def search(left: dict[int, int], used: int, wasted: int, chosen: list, width: int) -> None:
+        nonlocal nodes
+        nodes -= 1
+        if not left:
+            better(chosen)
+        if nodes < 0 or size <= bound or not left:
             return
-        rest = sum(x * n for x, n in live.items())
-        if used + -(-rest // capacity) >= size[0]:
+        if used + -(-sum(x * n for x, n in left.items()) // capacity) >= size:
             return
-        if number > 200:  # a best-fit end of the partial solution is another incumbent
-            tail = best_fit(live, capacity)
-            if used + sum(n for _, n in tail) < size[0]:
-                size[0], best[0] = used + sum(n for _, n in tail), [*chosen, *tail]
-        allowed = (size[0] - 1) * capacity - total - wasted
-        top = max(live)
-        live[top] -= 1
-        for c in fillings(live, capacity - top, allowed, 2_000):
+        if many and len(chosen) % 16 == 0:
+            better([*chosen, *best_fit(left, capacity)])
+        allowed = (size - 1) * capacity - total - wasted
+        top = max(left)
+        rest = left | {top: left[top] - 1}
+        for c in fillings(rest, capacity - top, allowed, width, many):
             need = dict(c)
             need[top] = need.get(top, 0) + 1
-            times = min(left[x] // k for x, k in need.items()) if number > 200 else 1
             waste = capacity - sum(x * k for x, k in need.items())
-            times = min(times, allowed // waste) if waste else times
-            after = left | {x: left[x] - k * times for x, k in need.items()}
-            search(after, used + times, wasted + waste * times, [*chosen, (tuple(sorted(need.items(), reverse=True)), times)])
-            if nodes[0] < 0 or size[0] <= bound:
+            times = min(left[x] // k for x, k in need.items()) if many else 1
+            times = min(times, max(1, allowed // waste)) if waste else times
+            after = {x: n for x, n in ((x, n - need.get(x, 0) * times) for x, n in left.items()) if n}
+            search(after, used + times, wasted + waste * times, [*chosen, (tuple(sorted(need.items(), reverse=True)), times)], width)
+            if nodes < 0 or size <= bound:
                 return
 
-    import sys
-
-    old = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(old, 20_000))
+    depth = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(depth, 20_000))
     try:
-        search(counts, 0, 0, [])
+        for width in WIDTHS if many else (2_000,):
+            nodes = effort // (len(WIDTHS) if many else 1)
+            search(counts, 0, 0, [], width)
     finally:
-        sys.setrecursionlimit(old)
-    return best[0]
+        sys.setrecursionlimit(depth)
+    return best
 
 
 def encoder(path: str):
@@ -260,7 +269,7 @@ def _place(slots: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = 12_000) -> DataFrame:
     """Place every piece of docs(doc_id, text, ...): token_pieces()' columns, sequence_id and offset.
 
     A null text is empty (its only id is end_id); repeated rows and rows
