@@ -25,6 +25,8 @@ from .common import prepare, ranked, table, written
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 #: Steps that an enumeration of fillings may take, from start to start of a large search.
 WIDTHS = (20, 60, 150, 400, 1_000, 3_000)
+#: Nodes that a large search visits after its first way down before it starts anew.
+BACKTRACK = 200
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -118,14 +120,15 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int, enough:
     return [c for left, c in found if not dominated(left, c)]
 
 
-def complete(counts: dict[int, int], capacity: int, effort: int = 12_000) -> list[tuple[Pattern, int]]:
+def complete(counts: dict[int, int], capacity: int, effort: int = 20_000) -> list[tuple[Pattern, int]]:
     """Patterns that hold all pieces of the histogram in as few sequences as the search finds.
 
     effort: how many nodes the search may visit.  Up to 200 pieces, a pattern is
     taken once at a time and all undominated fillings are tried: optimal within
     the effort.  Beyond, a pattern is repeated as often as its lengths last,
     nodes along the way complete their partial solutions by best fit, and the
-    search starts anew with wider enumerations, sharing the effort.
+    search starts anew with wider enumerations, sharing the effort, after a
+    few turns back (BACKTRACK).
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
@@ -154,7 +157,10 @@ def complete(counts: dict[int, int], capacity: int, effort: int = 12_000) -> lis
         allowed = (size - 1) * capacity - total - wasted
         top = max(left)
         rest = left | {top: left[top] - 1}
-        for c in fillings(rest, capacity - top, allowed, width, many):
+        options = fillings(rest, capacity - top, allowed, width, many)
+        if many and not options:  # the way down has ended: some turns back from here, then a wider start
+            nodes = min(nodes, BACKTRACK)
+        for c in options:
             need = dict(c)
             need[top] = need.get(top, 0) + 1
             waste = capacity - sum(x * k for x, k in need.items())
@@ -269,7 +275,7 @@ def _place(slots: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = 12_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = 20_000) -> DataFrame:
     """Place every piece of docs(doc_id, text, ...): token_pieces()' columns, sequence_id and offset.
 
     A null text is empty (its only id is end_id); repeated rows and rows

@@ -37,8 +37,8 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rule_table(spark, rules=RULES) -> DataFrame:
     """rules (verdict, host, path) as a DataFrame."""
-    rows = ", ".join(f"struct('{v}' AS verdict, '{h}' AS host, '{p}' AS path)" for v, h, p in rules)
-    return spark.sql(f"SELECT inline(array({rows}))")
+    rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
