@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from tarnwick.registry import query, sql_query
 from tarnwick.sources.tables import table
@@ -78,3 +78,14 @@ def u_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("tarnwick_numbers", F.udtf(Numbers, returnType="i int"))
     table(spark, sf_dir, "nation").createOrReplaceTempView("tarnwick_nation")
     return spark.sql("SELECT n_nationkey, i FROM tarnwick_nation, LATERAL tarnwick_numbers(n_nationkey)")
+
+
+@F.udf(returnType=StringType(), useArrow=True)
+def _initials(name: str, segment: str) -> str:
+    return f"{name[:1]}{segment[:1]}"
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 1) || substr(c_mktsegment, 1, 1) AS i FROM customer")
+def u_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row by row in Python, carried by Arrow; for logic that no built-in function has."""
+    return table(spark, sf_dir, "customer").select("c_custkey", _initials("c_name", "c_mktsegment").alias("i"))

@@ -157,3 +157,16 @@ def q_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return rows.withColumn("r", F.row_number().over(w)).filter("r <= 2").drop("r")
+
+
+def _hinted(hint: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o, c = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+        return o.join(c.hint(hint), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+    run.__name__ = f"q_join_hint_{hint}"
+    return run
+
+
+for _hint in ("merge", "shuffle_hash"):
+    query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")(_hinted(_hint))

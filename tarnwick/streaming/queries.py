@@ -114,3 +114,34 @@ def st_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = stream(spark, sf_dir).select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(count, "user_id long, n long", "n long", "append", GroupStateTimeout.NoTimeout)
     return drained(rows, "custom-state").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS latest FROM events GROUP BY user_id HAVING count(*) >= 3")
+def st_state_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with three events or more, by a stateful processor with typed state; the last row that each user reached."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Busy(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.seen = handle.getValueState("seen", "n long, latest long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            n, latest = self.seen.get() if self.seen.exists() else (0, -1)
+            for f in rows:
+                n, latest = n + len(f), max(latest, int(f["event_id"].max()))
+            self.seen.update((n, latest))
+            if n >= 3:
+                yield pd.DataFrame({"user_id": [key[0]], "n": [n], "latest": [latest]})
+
+        def close(self) -> None:
+            pass
+
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        rows = stream(spark, sf_dir).select("user_id", "event_id").groupBy("user_id").transformWithStateInPandas(Busy(), "user_id long, n long, latest long", "append", "none")
+        out = drained(rows, "state-processor")
+    finally:
+        spark.conf.set(key, before)
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("latest").alias("latest"))
