@@ -25,6 +25,8 @@ SAMPLE, SAMPLE_CHARS = 1500, 8000
 DICTIONARY_BYTES, LEVEL = 64 * 1024, 2
 #: Bytes compressed at a time: beyond them a text's own past helps more than a dictionary does.
 BLOCK = 1024
+#: Compressed bytes added to the sum, as if seen alike by both: one line that a dictionary happens to hold does not decide a short text.
+PRIOR = 500
 
 
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -54,7 +56,7 @@ class Measure:
             block = data[i : i + BLOCK]
             good += len(self.good.compress(block))
             bad += len(self.bad.compress(block))
-        return ((bad - good) / (bad + good), math.log(good / len(data))) if data else (0.0, 0.0)
+        return ((bad - good) / (bad + good + PRIOR), math.log(good / len(data))) if data else (0.0, 0.0)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
