@@ -1,7 +1,7 @@
 """URL filters by hashed expressions, in DataFrame functions only.
 
-A URL expands into expressions: every suffix of its host's labels with every
-path prefix of a length that some rule has.  Expressions meet rules in an
+A URL expands into expressions: the suffixes of its host's labels with the
+path prefixes, of the depths and lengths that some rule has.  Expressions meet rules in an
 equi-join on a short hash prefix; the full digest then confirms the match, and
 the longest rule decides.
 """
@@ -21,7 +21,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Hex digits of the short hash, and the most distinct lengths of rule paths (each is one expression per host suffix).
+#: Hex digits of the short hash, and the most distinct lengths of rule paths and depths of rule hosts (each pair of them is one expression).
 SHORT, MAX_LENGTHS = 8, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,22 +49,30 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     path) wins; of equally long ones that of the longer host, then block over
     allow, then the first by code point.  Without a rule `default` holds.  URLs
     are judged once for each distinct host and path head, so rows may repeat
-    and page_id may be null; a null url has an empty host and path.
+    and page_id may be null; a null url has an empty host and path.  A host of
+    very many labels has no more suffixes than rule hosts have depths.
     """
     host, path = split_url(F.col("url"))
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"))
     rules = rules.filter("r_host IS NOT NULL AND verdict IS NOT NULL").distinct()
-    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rule paths have over {MAX_LENGTHS} different lengths")
+
+    def distinct(size: Column, what: str) -> list[int]:
+        found = sorted(r[0] for r in rules.select(size).distinct().limit(MAX_LENGTHS + 1).collect())
+        if len(found) > MAX_LENGTHS:
+            raise ValueError(f"rule {what} have over {MAX_LENGTHS} different lengths")
+        return found
+
+    lengths = distinct(F.length("r_path"), "paths")
+    depths = distinct(F.size(F.split("r_host", r"\.")), "hosts")
     longest = max(lengths, default=0)
     named = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("head", F.substring("path", 1, longest))
     if not lengths:
         return named.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.array_distinct(F.filter(F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in lengths]), lambda p: p.isNotNull()))
+    # A slice from -n holds the last n labels; of a host with fewer it would be empty.
+    hosts = F.array_compact(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in depths]))
+    heads = F.array_compact(F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in lengths]))
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
     keys = named.filter("host != ''").select("host", "head").distinct()
     expressions = keys.select("host", "head", F.explode(hosts).alias("suffix"), heads.alias("heads")).select("host", "head", "suffix", F.explode("heads").alias("prefix"))

@@ -71,6 +71,12 @@ def test_urls_are_judged_as_by_hand(spark):
     assert urls.judge(df.limit(0), urls.rule_table(spark)).count() == 0
 
 
+def test_urls_of_many_labels_and_long_paths(spark):
+    rows = [(0, "http://" + "a." * 100_000 + "example.com/en/" + "x/" * 100_000), (1, "http://" + "." * 100_000), (2, "http://net." + "b." * 50_000 + "net/es/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"])) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rule_table(spark)).collect()}
+    assert got == {0: ("example.com/en/", "block", 200_011), 1: (None, "allow", 100_000), 2: ("net/es/", "block", 100_007)}
+
+
 def test_archives_round_trip(spark):
     pages = [(i, f"http://h{i % 5}.example.com/p{i}", "<p>" + "x" * (i % 7)) for i in range(200)]
     pages += [(500, None, None), (501, "bad\r\nurl é", ""), (None, "http://n.org/", "<p>"), (None, "http://n.org/", "only"), (502, "http://é.org/", "dup"), (502, "http://é.org/", "dup"), (503, "http://big.org/", "ü" * 400_000), (504, "u", "a\r\n\r\nb\x00")]
