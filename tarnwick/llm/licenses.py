@@ -114,9 +114,12 @@ def scan(data: bytes, automata: dict[str, Automaton], phrases: dict[bytes, str])
     text = b" " + b" ".join(words) + b" "
 
     def places(needle):
-        at = text.find(needle)
+        """Numbers of the words from which the needle's words stand; the text is counted through once."""
+        at, seen, word = text.find(needle), 0, 0
         while at >= 0:
-            yield at
+            word += text.count(b" ", seen, at)
+            seen = at
+            yield word
             at = text.find(needle, at + 1)
 
     n, first, last, base = 0, None, None, set()
@@ -128,13 +131,12 @@ def scan(data: bytes, automata: dict[str, Automaton], phrases: dict[bytes, str])
     labels, score = set(base), 0.5 if base else 0.0
     for label, a in automata.items():
         for at in places(a.anchor):
-            got = a.match(words, text.count(b" ", 0, at))
+            got = a.match(words, at)
             score = max(score, got / a.mandatory)
             if got == a.mandatory:
                 labels.add(label)
                 break
-    word = lambda at: None if at is None else text.count(b" ", 0, at)
-    return len(words), n, word(first), word(last), ",".join(sorted(base)), ",".join(sorted(labels)), score
+    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
 def _scans(templates: dict[str, str], phrases: dict[str, str]):

@@ -293,6 +293,14 @@ def test_templates_take_exact_mandatory_wording():
         assert (a.match(w(text), 0) == a.mandatory) == bool(ok), text
 
 
+def test_anchors_repeated_in_a_very_long_text():
+    automata = {k: licenses.Automaton(t) for k, t in licenses.TEMPLATES.items()}
+    phrases = {b" " + k.encode() + b" ": v for k, v in licenses.PHRASES.items()}
+    n = 100_000
+    found = licenses.scan(b"filler " + b"licensed under the apache license mit license " * n, automata, phrases)
+    assert found[:6] == (1 + 7 * n, 2 * n, 4, 7 * n - 1, "apache,mit", "apache,mit")
+
+
 # Quality
 
 
