@@ -27,6 +27,21 @@ sql_query("f_variant", "SELECT event_id, variant_get(parse_json(props), '$.k', '
 sql_query("f_array_fold", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE)), 0D, (s, x) -> s + x * x), 6) AS norm FROM {embeddings}", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm FROM embeddings")
 sql_query("f_explode", "SELECT label, i, count(*) AS n FROM {embeddings} LATERAL VIEW posexplode(slice(embedding, 1, 4)) t AS i, v WHERE v > 0 GROUP BY label, i", "SELECT label, CAST(i AS INT) AS i, count(*) AS n FROM (SELECT label, unnest(embedding[1:4]) AS v, unnest([0, 1, 2, 3]) AS i FROM embeddings) WHERE v > 0 GROUP BY label, i")
 sql_query("f_hash", "SELECT doc_id, sha2(text, 256) AS h FROM {documents}", "SELECT doc_id, sha256(text) AS h FROM documents")
+sql_query("f_strings_more", "SELECT c_custkey, CAST(instr(c_name, '#') AS BIGINT) AS i, repeat(c_mktsegment, 2) AS r, left(c_name, 3) AS l, right(c_name, 3) AS e, rpad(c_mktsegment, 12, '.') AS p, translate(c_name, '012', 'abc') AS t, concat_ws('-', c_name, nullif(c_mktsegment, 'BUILDING')) AS w, CAST(levenshtein(c_name, c_mktsegment) AS BIGINT) AS d, ascii(c_name) AS a FROM {customer}")
+sql_query("f_string_tests", "SELECT p_partkey, startswith(p_name, 's') AS s, endswith(p_name, 'g') AS e, contains(p_name, 'ol') AS c, p_type ILIKE 'small%' AS i FROM {part}", "SELECT p_partkey, starts_with(p_name, 's') AS s, ends_with(p_name, 'g') AS e, contains(p_name, 'ol') AS c, p_type ILIKE 'small%' AS i FROM part")
+sql_query("f_encodings", "SELECT c_custkey, hex(c_name) AS h, base64(CAST(c_name AS BINARY)) AS b, CAST(unhex(hex(c_name)) AS STRING) AS u, bin(c_custkey) AS n FROM {customer}", "SELECT c_custkey, hex(c_name) AS h, base64(encode(c_name)) AS b, decode(unhex(hex(c_name))) AS u, bin(c_custkey) AS n FROM customer")
+sql_query("f_bits", "SELECT p_partkey, p_size & 6 AS a, p_size | 6 AS o, p_size ^ 6 AS x, shiftleft(p_size, 2) AS l, shiftright(p_size, 1) AS r, CAST(bit_count(p_size) AS INT) AS c FROM {part}", "SELECT p_partkey, p_size & 6 AS a, p_size | 6 AS o, xor(p_size, 6) AS x, p_size << 2 AS l, p_size >> 1 AS r, CAST(bit_count(p_size) AS INT) AS c FROM part")
+sql_query("f_dates_more", "SELECT o_orderkey, last_day(o_orderdate) AS l, date_format(o_orderdate, 'yyyy-MM') AS f, CAST(dayofyear(o_orderdate) AS BIGINT) AS y, CAST(weekofyear(o_orderdate) AS BIGINT) AS w, add_months(o_orderdate, 1) AS a, make_date(year(o_orderdate), 1, 1) AS j, CAST(dayofweek(o_orderdate) AS BIGINT) AS d FROM {orders}", "SELECT o_orderkey, last_day(o_orderdate) AS l, strftime(o_orderdate, '%Y-%m') AS f, dayofyear(o_orderdate) AS y, weekofyear(o_orderdate) AS w, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS a, make_date(year(o_orderdate), 1, 1) AS j, dayofweek(o_orderdate) + 1 AS d FROM orders")
+sql_query("f_date_parsing", "SELECT o_orderkey, to_date(date_format(o_orderdate, 'dd/MM/yyyy'), 'dd/MM/yyyy') AS d, try_cast(concat(o_orderstatus, '1') AS DATE) AS none FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, try_cast(concat(o_orderstatus, '1') AS DATE) AS none FROM orders")
+sql_query("f_math_more", "SELECT p_partkey, round(pow(p_size, 1.5D), 4) AS p, round(exp(p_size / 50.0D), 6) AS e, round(log10(p_retailprice), 6) AS l, round(cbrt(p_retailprice), 6) AS c, round(sin(p_size), 6) AS s, round(atan2(p_size, 3), 6) AS a, round(degrees(p_size / 10.0D), 4) AS g FROM {part}", "SELECT p_partkey, round(pow(p_size, 1.5), 4) AS p, round(exp(CAST(p_size AS DOUBLE) / 50.0), 6) AS e, round(log10(p_retailprice), 6) AS l, round(cbrt(p_retailprice), 6) AS c, round(sin(p_size), 6) AS s, round(atan2(p_size, 3), 6) AS a, round(degrees(CAST(p_size AS DOUBLE) / 10.0), 4) AS g FROM part")
+sql_query("f_arrays", "SELECT vec_id, size(filter(embedding, x -> x > 0)) AS pos, exists(embedding, x -> x > 0.4) AS big, forall(embedding, x -> abs(x) <= 1) AS unit, round(CAST(array_max(embedding) AS DOUBLE), 6) AS hi, array_contains(transform(slice(embedding, 1, 8), x -> x < 0), true) AS neg FROM {embeddings}", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS pos, len(list_filter(embedding, lambda x: x > 0.4)) > 0 AS big, len(list_filter(embedding, lambda x: abs(x) > 1)) = 0 AS unit, round(CAST(list_max(embedding) AS DOUBLE), 6) AS hi, list_contains(list_transform(embedding[1:8], lambda x: x < 0), true) AS neg FROM embeddings")
+sql_query("f_array_sets", "SELECT doc_id, size(array_distinct(w)) AS d, array_join(sort_array(array_distinct(slice(w, 1, 5))), ' ') AS s, size(array_intersect(w, array('the', 'der', 'la'))) AS i, size(array_except(array('the', 'der', 'la'), w)) AS x FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents}) t", "SELECT doc_id, CAST(len(list_distinct(w)) AS INT) AS d, array_to_string(list_sort(list_distinct(w[1:5])), ' ') AS s, CAST(len(list_intersect(list_distinct(w), ['the', 'der', 'la'])) AS INT) AS i, CAST(3 - len(list_intersect(['the', 'der', 'la'], w)) AS INT) AS x FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t")
+sql_query("f_maps", "SELECT n_nationkey, element_at(m, 'a') AS a, try_element_at(m, 'zz') AS none, size(map_filter(m, (k, v) -> v > 10)) AS big, array_join(map_keys(m), ',') AS k FROM (SELECT n_nationkey, map('a', n_nationkey, 'b', n_regionkey * 6) AS m FROM {nation}) t", "SELECT n_nationkey, n_nationkey AS a, CAST(NULL AS INT) AS none, CAST(n_nationkey > 10 AS INT) + CAST(n_regionkey * 6 > 10 AS INT) AS big, 'a,b' AS k FROM nation")
+sql_query("f_structs", "SELECT c_custkey, t.s.name AS name, t.s.more.balance AS balance FROM (SELECT c_custkey, named_struct('name', c_name, 'more', named_struct('balance', c_acctbal)) AS s FROM {customer}) t", "SELECT c_custkey, c_name AS name, c_acctbal AS balance FROM customer")
+sql_query("f_json_schema", "SELECT event_id, from_json(props, 'k BIGINT, absent STRING').k AS k, from_json(props, 'k BIGINT, absent STRING').absent AS absent, to_json(named_struct('id', event_id, 'type', event_type)) AS j FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent, CAST(json_object('id', event_id, 'type', event_type) AS VARCHAR) AS j FROM events")
+sql_query("f_nulls", "SELECT p_partkey, nvl(nullif(p_size, 7), -1) AS a, nvl2(nullif(p_size, 7), 1, 0) AS b, ifnull(nullif(p_brand, 'Brand#1'), 'none') AS c, nullif(p_size, 7) IS NULL AS d, nullif(p_size, 7) <=> NULL AS e FROM {part}", "SELECT p_partkey, coalesce(nullif(p_size, 7), -1) AS a, CASE WHEN p_size = 7 THEN 0 ELSE 1 END AS b, ifnull(nullif(p_brand, 'Brand#1'), 'none') AS c, p_size = 7 AS d, p_size = 7 AS e FROM part")
+sql_query("f_sequences", "SELECT n_nationkey, d FROM {nation} LATERAL VIEW explode(sequence(DATE '2024-01-01', date_add(DATE '2024-01-01', n_regionkey), INTERVAL '1' DAY)) t AS d", "SELECT n_nationkey, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-01' + n_regionkey, INTERVAL 1 DAY)) AS DATE) AS d FROM nation")
+sql_query("f_url_parts", "SELECT page_id, parse_url(url, 'PROTOCOL') AS scheme, url_encode(CAST(page_id AS STRING)) AS e FROM {pages}", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, CAST(page_id AS VARCHAR) AS e FROM pages")
 
 
 @pandas_udf(DoubleType())
@@ -89,3 +104,40 @@ def _initials(name: str, segment: str) -> str:
 def u_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row by row in Python, carried by Arrow; for logic that no built-in function has."""
     return table(spark, sf_dir, "customer").select("c_custkey", _initials("c_name", "c_mktsegment").alias("i"))
+
+
+@pandas_udf(DoubleType())
+def _scaled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """An iterator of batches: what is set up before the loop is set up once a task."""
+    factor = 0.5
+    for b in batches:
+        yield b * factor
+
+
+@query("SELECT p_partkey, round(p_retailprice * 0.5, 4) AS h FROM part")
+def u_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(_scaled("p_retailprice"), 4).alias("h"))
+
+
+@query("SELECT p_partkey, CAST(length(p_name) AS BIGINT) AS n FROM part")
+def u_map_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_length(b.column(1)).cast(pa.int64())], ["p_partkey", "n"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(run, "p_partkey long, n long")
+
+
+@query("SELECT coalesce(c.k, s.k) AS k, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k")
+def u_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables' groups of a key side by side; only the key crosses the shuffle."""
+
+    def sizes(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [key[0]], "customers": [len(a)], "suppliers": [len(b)]})
+
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).groupBy("k")
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).groupBy("k")
+    return a.cogroup(b).applyInPandas(sizes, "k int, customers long, suppliers long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators import temporal
+from tarnwick.operators import skew, temporal
 from tarnwick.registry import query
 from tarnwick.sources.tables import table
 
@@ -67,30 +67,52 @@ def op_approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 10), s AS (
-  SELECT n.vec_id AS query_id, e.vec_id, round(list_inner_product(CAST(n.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 8) AS score FROM n JOIN embeddings e ON n.vec_id != e.vec_id)
-SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+WITH n AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (
+  SELECT n.vec_id AS query_id, e.vec_id, list_inner_product(CAST(n.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM n JOIN embeddings e ON n.vec_id != e.vec_id)
+SELECT query_id, vec_id, round(score, 8) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """)
 def op_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest vectors of ten stated queries, as a fold in the JVM; the ten are a broadcast of fixed size."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = F.broadcast(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 8).alias("score"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("r", F.row_number().over(w)).filter("r <= 5").drop("r")
+    """The 5 nearest vectors of the stated queries (ids divisible by 50) against all rows, as a fold in the JVM."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return skew.block_search(e, e.filter("id % 50 = 0"), 5).withColumn("score", F.round("score", 8))
 
 
 @query()
 def op_minhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts whose names' character trigrams are alike, by MinHash; candidates only, so no oracle."""
+    """Pairs of different part names whose character trigrams are alike (Jaccard distance under 0.6), by MinHash.
+
+    Each name is compared once, however many parts have it; their number comes
+    along.  MinHash may miss pairs, so there is no oracle; distances are exact.
+    """
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("s")).filter(F.length("s") >= 3)
-    grams = names.select("id", F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring("s", i, 3)).alias("g"))
+    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("s")).agg(F.count(F.lit(1)).alias("parts")).filter(F.length("s") >= 3)
+    grams = names.select("s", "parts", F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring("s", i, 3)).alias("g"))
     vectors = HashingTF(inputCol="g", outputCol="v", numFeatures=1 << 18, binary=True).transform(grams)
-    lsh = MinHashLSH(inputCol="v", outputCol="h", numHashTables=3, seed=1).fit(vectors)
-    near = lsh.approxNearestNeighbors(vectors, vectors.orderBy("id").first()["v"], 10, distCol="d")
-    return near.select("id", F.round("d", 6).alias("distance"))
+    near = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=1).fit(vectors).approxSimilarityJoin(vectors, vectors, 0.6, distCol="d")
+    pairs = near.filter("datasetA.s < datasetB.s")
+    return pairs.select(F.col("datasetA.s").alias("name"), F.col("datasetB.s").alias("other"), F.col("datasetA.parts").alias("parts"), F.col("datasetB.parts").alias("other_parts"), F.round("d", 6).alias("distance"))
+
+
+@query("SELECT e.event_id, t.n FROM events e LEFT JOIN (SELECT event_type, count(*) AS n FROM events WHERE event_type != 'error' GROUP BY event_type) t ON e.event_type = t.event_type")
+def op_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the size of its type: five keys hold all rows, so each is spread."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    sizes = e.filter("event_type != 'error'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return skew.salted_join(e, sizes, ["event_type"], "left", least=1000).select("event_id", "n")
+
+
+@query("""
+SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal >= 0 AND s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal < 0
+""")
+def op_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select("s_suppkey", "s_nationkey")
+    new = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"))
+    return skew.upsert(old, new, "s_suppkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE md5(CAST(o_orderkey AS VARCHAR)) < '20'")
+def op_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An eighth of the orders, the same at every run and on every cluster: by hash, without a shuffle."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").filter(F.md5(F.col("o_orderkey").cast("string").cast("binary")) < "20")

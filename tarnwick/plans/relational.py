@@ -79,6 +79,10 @@ def q_join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql_query("q_join_theta", "SELECT a.n_name AS low, b.n_name AS high FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql_query("q_join_cross", "SELECT r_name, s.l_linestatus AS status FROM {region} CROSS JOIN (SELECT DISTINCT l_linestatus FROM {lineitem}) s")
+sql_query("q_join_right", "SELECT s_suppkey, n_name FROM {nation} RIGHT JOIN {supplier} ON n_nationkey = s_nationkey AND n_regionkey = 2")
+sql_query("q_join_using", "SELECT o_orderkey, n FROM (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P') a JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) b USING (o_orderkey)")
+sql_query("q_join_null_safe", "SELECT a.c_custkey, count(*) AS n FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM {customer}) a JOIN (SELECT nullif(s_nationkey, 3) AS k FROM {supplier}) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.c_custkey")
+sql_query("q_subquery_any", "SELECT n_name, (SELECT max(c_acctbal) FROM {customer} WHERE c_nationkey = n_nationkey) AS top FROM {nation} WHERE n_nationkey = ANY (SELECT s_nationkey FROM {supplier})".replace("= ANY", "IN"))
 sql_query("q_subquery_in", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 50) AND p_size > 40")
 sql_query("q_subquery_not_in", "SELECT c_custkey FROM {customer} WHERE c_nationkey NOT IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)")
 sql_query("q_subquery_exists", "SELECT s_suppkey FROM {supplier} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_discount = 0.1 AND l_quantity > 48)")
@@ -101,6 +105,10 @@ sql_query("q_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n F
 sql_query("q_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 14")
 sql_query("q_filter_clause", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) AS n FROM {orders} GROUP BY o_orderpriority")
 sql_query("q_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 5) AS sd, round(var_pop(l_quantity), 4) AS vp, round(corr(l_quantity, l_extendedprice), 5) AS r FROM {lineitem} GROUP BY l_returnflag")
+sql_query("q_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(covar_pop(l_quantity, l_discount), 6) AS cov FROM {lineitem} GROUP BY l_returnflag")
+sql_query("q_moments", "SELECT c_mktsegment, round(skewness(c_acctbal), 4) AS s, round(stddev_pop(c_acctbal), 3) AS p, round(var_samp(c_acctbal / 1000), 4) AS v FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, round(skewness(c_acctbal) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 4) AS s, round(stddev_pop(c_acctbal), 3) AS p, round(var_samp(c_acctbal / 1000), 4) AS v FROM customer GROUP BY c_mktsegment")
+sql_query("q_logical_aggregates", "SELECT o_orderpriority, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_orderstatus = 'P') AS any_one, bit_or(o_orderkey) AS bits, bit_xor(o_custkey) AS x FROM {orders} GROUP BY o_orderpriority")
+sql_query("q_histogram", "SELECT CAST(floor(o_totalprice / 25000) AS INT) AS bin, count(*) AS n FROM {orders} GROUP BY 1")
 sql_query("q_percentile", "SELECT c_mktsegment, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 4) AS med FROM {customer} GROUP BY c_mktsegment")
 sql_query("q_distinct_count", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM {lineitem} GROUP BY l_suppkey")
 sql_query("q_min_max_by", "SELECT c_nationkey, max_by(c_custkey, c_acctbal * 1000000 + c_custkey) AS richest FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, arg_max(c_custkey, c_acctbal * 1000000 + c_custkey) AS richest FROM customer GROUP BY c_nationkey")
@@ -134,6 +142,10 @@ sql_query(
 )
 sql_query("q_window_rows", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n, max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {events}")
 sql_query("q_window_range", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}")
+sql_query("q_window_distribution", "SELECT c_custkey, round(cume_dist() OVER w, 6) AS share, nth_value(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)")
+sql_query("q_window_share", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 6) AS share FROM {supplier}")
+sql_query("q_gaps_and_islands", "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM {events}) t GROUP BY user_id, event_type, g")
+sql_query("q_distinct_on", "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM {events}) t WHERE r = 1", "SELECT DISTINCT ON (user_id) user_id, event_id, value FROM events ORDER BY user_id, value DESC, event_id")
 sql_query("q_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 sql_query("q_union_all", "SELECT c_nationkey AS k, 'c' AS t FROM {customer} UNION ALL SELECT s_nationkey, 's' FROM {supplier}")
 sql_query("q_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarnwick.registry import query
@@ -48,6 +49,49 @@ def s_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).filter("o_orderstatus = 'P'")
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def s_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through(spark, sf_dir, "supplier", "xml", rowTag="row")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def s_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through(spark, sf_dir, "region", "csv", header="true", sep="|", compression="gzip")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN n_name END AS n_name, CASE WHEN n_regionkey >= 2 THEN n_regionkey END AS n_regionkey FROM nation")
+def s_merged_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of different columns in one folder: the schemas are merged and what a file lacks is null."""
+    path, n = scratch(spark, "merged"), table(spark, sf_dir, "nation")
+    n.filter("n_regionkey < 2").select("n_nationkey", "n_name").write.parquet(path)
+    n.filter("n_regionkey >= 2").select("n_nationkey", "n_regionkey").write.mode("append").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders")
+def s_overwritten_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition written anew, the others kept."""
+    path, o = scratch(spark, "overwritten"), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    o.write.partitionBy("o_orderstatus").parquet(path)
+    anew = o.filter("o_orderstatus = 'P'").withColumn("o_totalprice", F.lit(0.0))
+    anew.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("o_orderstatus").parquet(path)
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")
+def s_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables bucketed by order, so that their join reads bucket by bucket and shuffles neither."""
+    sides = []
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        path = scratch(spark, f"bucketed-{name}")
+        stored = "tarnwick_" + path.rsplit("/", 1)[1].replace("-", "_")
+        table(spark, sf_dir, name).write.bucketBy(8, key).sortBy(key).option("path", path).saveAsTable(stored)
+        sides.append(spark.table(stored))
+    o, l = sides
+    joined = o.join(l.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 class Steps(DataSource):
     """Numbers 0 to `rows` - 1 with their squares, in `parts` partitions; a template for sources without a Spark connector."""
 

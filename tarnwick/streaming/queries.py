@@ -7,6 +7,7 @@ the delay) has passed their end, which is what the oracles say in SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,6 +98,26 @@ def st_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(pairs.select("event_id", "purchase_id"), "stream-join")
 
 
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def st_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink in the driver's memory: for small results, five rows here."""
+    name = "tarnwick_" + uuid.uuid4().hex
+    counts = stream(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def st_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode: each batch appends the counts that changed; the largest is the latest."""
+    out, state = scratch(spark, "update-out"), scratch(spark, "update-state")
+    counts = stream(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    # A batch that runs again writes its own folder again, so nothing is counted twice.
+    put = lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    counts.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/*").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
 @query("SELECT c.event_id, u.c_name FROM events c JOIN customer u ON c.user_id = u.c_custkey WHERE c.event_type = 'signup'")
 def st_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream(spark, sf_dir).filter("event_type = 'signup'").join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey"))

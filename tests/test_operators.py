@@ -1,11 +1,12 @@
 """Operators on edge cases: ties, nulls, hot keys, late rows."""
 
+import collections
 import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import temporal
+from tarnwick.operators import skew, temporal
 from tarnwick.sources.tables import scratch
 from tarnwick.streaming.queries import drained
 
@@ -40,6 +41,38 @@ def test_interval_join_meets_each_pair_once(spark):
     assert sorted((r["p"], r["s"]) for r in got.collect()) == want
 
 
+def test_salted_join_equals_a_plain_one(spark):
+    rng = random.Random(6)
+    left = [(i, "hot" if i % 3 else rng.choice(["a", "b", None, "gone"])) for i in range(2000)]
+    right = [("hot", 1), ("hot", 2), ("a", 3), (None, 4), ("unused", 5)]
+    l, r = spark.createDataFrame(left, "id long, k string"), spark.createDataFrame(right, "k string, v long")
+    for how in ("inner", "left"):
+        want = collections.Counter(map(tuple, l.join(r, "k", how).select("id", "k", "v").collect()))
+        got = skew.salted_join(l, r, ["k"], how, salts=4, least=100)
+        assert collections.Counter(map(tuple, got.select("id", "k", "v").collect())) == want
+    assert skew.salted_join(l.limit(0), r, ["k"]).count() == skew.salted_join(l, r.limit(0), ["k"]).count() == 0
+
+
+def test_block_search_equals_a_full_scan(spark):
+    rng = random.Random(7)
+    v = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(v, "id long, v array<double>")
+    got = skew.block_search(df, df.filter("id % 50 = 0"), 5, block=16).collect()
+    want = set()
+    for q, w in v[::50]:
+        scored = sorted((-sum(a * b for a, b in zip(w, x, strict=True)), i) for i, x in v if i != q)
+        want |= {(q, i, -s) for s, i in scored[:5]}
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
+
+
+def test_bucketed_join_shuffles_neither_side(spark):
+    from tarnwick import catalog
+
+    plan = catalog.QUERIES["s_bucketed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin") :]
+    assert "Exchange" not in join and "Bucketed: true" in join
+
+
 def test_sketches_are_near_the_truth(spark):
     from tarnwick import catalog
 
