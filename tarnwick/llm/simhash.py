@@ -166,18 +166,17 @@ def _deal(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
 def _split(rows: DataFrame) -> DataFrame:
     """The rows of large buckets in four smaller ones each: links within 3 bits agree on one of four groups of the bits left."""
 
-    def cut(mask, value, fp, masks):
-        for m, v, f in zip(mask, value, fp, strict=True):
-            left = [b for b in range(64) if not m >> b & 1]
-            for k in range(masks):
-                sub = sum(1 << b for b in left[k::masks])
-                if sub:
-                    yield m | sub, v | (f & sub), f
-
     def split(batches):
         for b in batches:
-            columns = [x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).tolist() for x in b.columns]
-            out = np.array(list(cut(*columns, 4)), np.uint64).reshape(-1, 3)
+            mask, value, fp = (x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in b.columns)
+            out = [np.zeros((0, 3), np.uint64)]
+            for m in np.unique(mask):  # one a part at first, four times as many at each further split
+                v, f = value[mask == m], fp[mask == m]
+                left = [bit for bit in range(64) if not int(m) >> bit & 1]
+                for sub in (np.uint64(sum(1 << bit for bit in left[k::4])) for k in range(4)):
+                    if sub:
+                        out.append(np.column_stack([np.full(len(f), m | sub), v | (f & sub), f]))
+            out = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i]).view(np.int64)) for i in range(3)], ["mask", "value", "fp"])
 
     return rows.select("mask", "value", "fp").mapInArrow(split, "mask long, value long, fp long").distinct()

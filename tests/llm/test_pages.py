@@ -120,3 +120,9 @@ def test_loser_tree_merges():
     for k in range(12):
         runs = [sorted(rng.randint(0, 50) for _ in range(rng.randint(0, 20))) for _ in range(k)]
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_native_queries_have_no_python_in_their_plans(spark):
+    for f in (chat.op4_chat, urls.op5_urls):
+        plan = f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
