@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
-ARROW_ROWS = 256
+#: Rows and bytes of one Arrow batch (a longer row is a batch of its own): bounds the memory of a Python worker and of the JVM's buffers when texts are long.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size where it is above ARROW_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lower the session's Arrow batch size where it is above ARROW_ROWS or ARROW_BYTES."""
+    key = "spark.sql.execution.arrow.max%sPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < int(spark.conf.get(key % "Records")) <= ARROW_ROWS:
+        spark.conf.set(key % "Records", str(ARROW_ROWS))
+    if not 0 < size(spark.conf.get(key % "Bytes")) <= ARROW_BYTES:
+        spark.conf.set(key % "Bytes", f"{ARROW_BYTES}b")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -107,7 +107,9 @@ def _scores(model: dict):
     def run(batches):
         measure = Measure(model["good"], model["bad"]) if model["good"] else None
         for b in batches:
-            x = np.array([measure(t.as_py()) if measure and t.is_valid else (0.0, 0.0) for t in b.column(1)]).reshape(-1, 2)
+            data = b.column(1) if b.num_columns > 1 else b.column(0).field("text")
+            data = data.cast(pa.large_binary() if pa.types.is_large_string(data.type) else pa.binary())
+            x = np.array([measure(t.as_py()) if measure and t.is_valid else (0.0, 0.0) for t in data]).reshape(-1, 2)
             score = 1 / (1 + np.exp(-np.clip(model["weights"][0] + x @ model["weights"][1:], -700, 700)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["row", "score"])
 
@@ -121,7 +123,9 @@ def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     difference of 0; repeated rows score alike; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("binary").alias("data"))
+    row = F.struct(*keep).alias("row")
+    # A text that is among the columns kept travels once, not twice.
+    rows = docs.select(row) if "text" in keep else docs.select(row, F.col("text").alias("data"))
     schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
     return rows.mapInArrow(_scores(model), schema)
 
