@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.llm import mixing, packing, quality, simhash
+from tarnwick.llm import mixing, neardup, packing, quality
 from tarnwick.llm.common import shared_dir, table
 
 
@@ -21,8 +21,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies: five-word Jaccard similarity of at least 0.8, exactly.
+
+    op2_simhash's 3 bits are the contract of that query alone; no radius of
+    fingerprints holds a similarity, so the stage joins on shingles instead.
+    """
+    return neardup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,190 @@
+"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered equi-join.
+
+Two texts are linked if their sets of five-word shingles have a Jaccard
+similarity of at least 4/5.  Such sets share at least o = ceil(4n/5) of either,
+so under any one order of all shingles their first n - o + l share l, for any
+l <= o.  Each set is dealt to these; a set that meets others in fewer than l of
+them has no near copy and is dropped; pairs that share l are verified on whole
+sets, and no pair at the bound is lost.  The order and l only decide the cost:
+shingles frequent in a sample come last, and l is a tenth of the set.  Pairs within a component that is already known need no
+verification, so a large group of copies costs about a star, not its pairs.
+Shingles and sets are known by their 64-bit XXH64.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import simhash
+from .common import components, prepare, written
+
+#: Words of a shingle; the least similarity, as a fraction.
+SIZE, ALIKE = 5, (4, 5)
+#: A set must meet others in one of so many of its shingles (l); rounds of dropping those that do not; bits of the filter for the sets left.
+SHARE, ROUNDS, BITS = 10, 2, 1 << 23
+#: Rows whose shingles are counted for the order, how often one must occur among them to come last, and how many such are held.
+SAMPLE, OFTEN, COMMON = 8_000, 3, 50_000
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def shingles(data: bytes, size: int = SIZE, seed: int = 42) -> np.ndarray:
+    """Distinct XXH64 of a UTF-8 text's shingles, ascending; words and short texts as in `simhash.fingerprint`."""
+    words = data.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    text = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(len(words) - size + 1, 1)].tolist()
+    stops = ends[min(size, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(text[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def needed(n: int) -> int:
+    """How many shingles two sets at least ALIKE share in their prefixes, for one of n shingles."""
+    return min(-(-n // SHARE), -(-n * ALIKE[0] // ALIKE[1]))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(n * ALIKE) + needed(n) of a set's shingles, those in common (ascending) last, by their counts."""
+    n = len(found)
+    take = n - -(-n * ALIKE[0] // ALIKE[1]) + needed(n)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
+    return found[:take]
+
+
+def _list(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _long(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of docs, ascending, and their counts."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_list([shingles(t or b"") for t in b.column(0).to_pylist()])], ["g"])
+
+    rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select(F.col("text").cast("binary").alias("data"))
+    counted = rows.mapInArrow(run, "g array<long>").select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "g").limit(COMMON).collect()
+    g, n = np.array([r["g"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp (the set's hash), n (its size), need and prefix of every row; a null text is empty."""
+    common, counts = _common(docs)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t or b"") for t in b.column(2).to_pylist()]
+            keys = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+            out = [b.column(0), b.column(1), _long(keys), pa.array([len(s) for s in sets], pa.int32()), pa.array([needed(len(s)) for s in sets], pa.int32()), _list([prefix(s, common, counts) for s in sets])]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "fp", "n", "need", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, need int, prefix array<long>")
+
+
+def _whole(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp and all shingles g of the sets in wanted (fp), of one row each.
+
+    Texts are not shuffled: a filter of BITS bits picks rows on the executors,
+    and a join drops the few that it lets through wrongly.
+    """
+    least = rows.join(wanted, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    of = written(least.select("fp", F.xxhash64("k.doc_id", "k.text_hash").alias("key"), F.col("k.doc_id").alias("i"), F.col("k.text_hash").alias("h")), "neardup-wanted")
+    bit = F.pmod("key", F.lit(BITS))
+    words = of.select((bit / 64).cast("int").alias("at"), F.pmod(bit, F.lit(64)).cast("int").alias("bit")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).collect()
+    held = np.zeros(BITS // 64, np.int64)
+    held[np.array([r["at"] for r in words], np.int64)] = np.array([r["word"] for r in words], np.int64)
+    held = held.view(np.uint8)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False) % BITS
+            b = b.filter(pa.array((held[at >> 3] >> (at & 7) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _list([shingles(t or b"") for t in b.column(3).to_pylist()])], ["key", "_i", "_h", "g"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("data"))
+    texts = texts.select(F.xxhash64("_i", "_h").alias("key"), "_i", "_h", "data").mapInArrow(run, f"key long, _i {kind}, _h long, g array<long>")
+    found = texts.join(of, (texts["key"] == of["key"]) & F.col("_i").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")))
+    return written(found.select("fp", "g"), "neardup-whole")
+
+
+def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is at least ALIKE, on whole sets."""
+    one, two = sets.select(F.col("fp").alias("a"), F.col("g").alias("g1")), sets.select(F.col("fp").alias("b"), F.col("g").alias("g2"))
+    both = F.size(F.array_intersect("g1", "g2"))
+    fit = both * (ALIKE[0] + ALIKE[1]) >= (F.size("g1") + F.size("g2")) * ALIKE[0]
+    return written(pairs.join(one, "a").join(two, "b").filter(fit).select("a", "b"), "neardup-links")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return written(components(links, "neardup-components"), "neardup-roots")
+
+
+def _core(met: DataFrame) -> DataFrame:
+    """Rows (g, fp, n, need, low, high) of the sets that meet others in at least need shingles; low and high are the outermost that meet there."""
+    enough = met.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("k")).filter("c >= k").select("fp")
+    w = Window.partitionBy("g")
+    left = met.select("g", "fp", "n", "need").join(enough, "fp")
+    return left.withColumns({"low": F.min("fp").over(w), "high": F.max("fp").over(w)}).filter("low != high")
+
+
+def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of sets (column fp of rows) whose components are those of all pairs at least ALIKE."""
+    w = Window.partitionBy("g")
+    met = rows.select("fp", F.explode("prefix").alias("g")).withColumns({"low": F.min("fp").over(w), "high": F.max("fp").over(w)})
+    met = written(met.filter("low != high").select("g", "fp").distinct(), "neardup-met")
+    met = met.join(rows.select("fp", "n", "need").distinct(), "fp")
+    for _ in range(ROUNDS):
+        met = written(_core(met), "neardup-core")
+    sets = _whole(docs, rows, met.select("fp").distinct())
+    # First each set with the outermost set that it meets most often; then what these links leave apart.
+    often = met.groupBy("fp", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("fp").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
+    stars = written(often.filter("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")), "neardup-stars")
+    first = _alike(sets, stars)
+    root = _roots(first).withColumnRenamed("node", "fp")
+    tied = written(met.join(root, "fp", "left").select("g", "fp", "n", "need", F.coalesce("root", "fp").alias("root")), "neardup-tied")
+    apart = tied.groupBy("g").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("g")
+    tied = written(tied.join(apart, "g"), "neardup-apart")
+    one, two = (tied.select("g", *(F.col(c).alias(c + k) for c in ("fp", "n", "need", "root"))) for k in "12")
+    close = F.least("n1", "n2") * ALIKE[1] >= F.greatest("n1", "n2") * ALIKE[0]
+    rest = one.join(two, "g").filter((F.col("fp1") < F.col("fp2")) & (F.col("root1") != F.col("root2")) & close)
+    rest = rest.groupBy(F.col("fp1").alias("a"), F.col("fp2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least("need1", "need2")).alias("k"))
+    rest = rest.filter("c >= k").select("a", "b").join(stars, ["a", "b"], "left_anti")
+    return first.union(_alike(sets, written(rest, "neardup-rest")))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp (the set's hash), component_id of every row of docs(doc_id, text, ...), as `simhash.near_groups` has them for fingerprints."""
+    prepare(docs.sparkSession)
+    rows = written(_sets(docs), "neardup-rows")
+    sets = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "neardup-sets")
+    tied = sets.join(_roots(links(docs, rows)), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = written(tied.join(least, "root").select("fp", "component_id"), "neardup-named")
+    return rows.select("doc_id", "text_hash", "fp").join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group, chosen as `simhash.deduplicated` does."""
+    return simhash.one_of_each(docs, near_groups(docs))

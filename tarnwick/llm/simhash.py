@@ -256,11 +256,16 @@ def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """One row of docs for each group of near_groups, as one_of_each() takes it."""
+    return one_of_each(docs, near_groups(docs, radius))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of docs for each group: that with the smallest doc_id (then text hash; rows without a doc_id last).
 
     Where no row of a group has a doc_id, one row of each fingerprint stays.
     """
-    found = written(near_groups(docs, radius), "simhash-groups")
+    found = written(groups, "simhash-groups")
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     keep = found.groupBy("component_id", alone.alias("alone")).agg(best.alias("k"))
