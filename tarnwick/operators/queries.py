@@ -79,19 +79,25 @@ def op_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op_minhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different part names whose character trigrams are alike (Jaccard distance under 0.6), by MinHash.
+    """Pairs of different part names whose character trigrams are alike (Jaccard distance under 0.6), all of them, by a prefix-filtered equi-join.
 
     Each name is compared once, however many parts have it; their number comes
-    along.  MinHash may miss pairs, so there is no oracle; distances are exact.
+    along.  A name of under three characters is a gram of its own.  Alike sets
+    share over 2/5 of either, so their first n - floor(2n/5) grams, rarest
+    first, share one; pairs that meet there are compared on whole sets.
     """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("s")).agg(F.count(F.lit(1)).alias("parts")).filter(F.length("s") >= 3)
-    grams = names.select("s", "parts", F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring("s", i, 3)).alias("g"))
-    vectors = HashingTF(inputCol="g", outputCol="v", numFeatures=1 << 18, binary=True).transform(grams)
-    near = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=1).fit(vectors).approxSimilarityJoin(vectors, vectors, 0.6, distCol="d")
-    pairs = near.filter("datasetA.s < datasetB.s")
-    return pairs.select(F.col("datasetA.s").alias("name"), F.col("datasetB.s").alias("other"), F.col("datasetA.parts").alias("parts"), F.col("datasetB.parts").alias("other_parts"), F.round("d", 6).alias("distance"))
+    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("s")).agg(F.count(F.lit(1)).alias("parts")).filter("s IS NOT NULL")
+    at = F.sequence(F.lit(1), F.greatest(F.length("s") - 2, F.lit(1)))
+    sets = names.select("s", "parts", F.array_distinct(F.transform(at, lambda i: F.substring("s", i, 3))).alias("g"))
+    grams = sets.select("s", F.explode("g").alias("w"))
+    ordered = grams.join(grams.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+    first = ordered.select("s", F.explode(F.slice("o", 1, F.size("o") - F.floor(F.size("o") * 2 / 5).cast("int"))).alias("x")).select("s", "x.w")
+    met = first.withColumnRenamed("s", "name").join(first.withColumnRenamed("s", "other"), "w").filter("name < other").select("name", "other").distinct()
+    one = sets.select(F.col("s").alias("name"), "parts", F.col("g").alias("g1"))
+    two = sets.select(F.col("s").alias("other"), F.col("parts").alias("other_parts"), F.col("g").alias("g2"))
+    both = F.size(F.array_intersect("g1", "g2"))
+    pairs = met.join(one, "name").join(two, "other").withColumns({"both": both, "all": F.size("g1") + F.size("g2") - both}).filter("both * 5 > all * 2")
+    return pairs.select("name", "other", "parts", "other_parts", F.round(1 - F.col("both") / F.col("all"), 6).alias("distance"))
 
 
 @query("SELECT e.event_id, t.n FROM events e LEFT JOIN (SELECT event_type, count(*) AS n FROM events WHERE event_type != 'error' GROUP BY event_type) t ON e.event_type = t.event_type")
