@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, table, written
+from .common import shared_dir, table, written
 
 #: Bytes after which a task starts another archive, and index entries in a range of the merge.
 ARCHIVE_BYTES, RANGE_ROWS = 64 << 20, 200_000
@@ -95,7 +95,6 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     all of them; a page_id beats none), the others revisits of it.  folder is a
     URI that the driver and executors share (file, hdfs, s3 or gs).
     """
-    prepare(pages.sparkSession)
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     data = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
