@@ -2,9 +2,11 @@
 
 A text is compressed, block by block, once with each dictionary; whichever
 compresses it better is the likelier class.  The difference of the compressed
-sizes over their sum is calibrated by a logistic curve, along with how far the
-good dictionary compresses the text at all: text that repeats itself compresses
-well with any dictionary, so the difference alone misses it.
+sizes, normalised by the text's length, is the only feature: a logistic curve
+calibrates it into a score.  Text that repeats itself compresses well with any
+dictionary, so its difference is near 0, while good text gains clearly from the
+good dictionary; over the sum of both sizes, small as it is there, chance would
+decide.
 """
 
 from __future__ import annotations
@@ -14,24 +16,26 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, table
+from .common import table, written
 
-#: Labelled rows of each class that a model is fitted on at most, and the characters of each that a dictionary takes.
-SAMPLE, SAMPLE_CHARS = 1500, 8000
-DICTIONARY_BYTES, LEVEL = 64 * 1024, 2
+#: Labelled documents of each class that a model is fitted on at most, and the blocks that a dictionary is built from: about as many of each, spread over its whole text.
+SAMPLE, BLOCKS = 1500, 12_000
+DICTIONARY_BYTES, LEVEL = 256 * 1024, 2
 #: Bytes compressed at a time: beyond them a text's own past helps more than a dictionary does.
-BLOCK = 1024
-#: Compressed bytes added to the sum, as if seen alike by both: one line that a dictionary happens to hold does not decide a short text.
-PRIOR = 500
+BLOCK = 256
 
 
-def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary of the texts; where they are too few to train one, their own bytes."""
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def blocks_of(data: bytes, most: int) -> list[bytes]:
+    """At most `most` of a text's blocks, evenly spread from its start to its end."""
+    n = -(-len(data) // BLOCK)
+    return [data[i * BLOCK : (i + 1) * BLOCK] for i in (range(n) if n <= most else (k * n // most for k in range(most)))]
+
+
+def build_dictionary(blocks: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary of the blocks; where they are too few to train one, their own bytes."""
     try:
         return zstandard.train_dictionary(size, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -39,8 +43,7 @@ def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 
 class Measure:
-    """(d, r): the normalised difference of the compressed sizes, positive where
-    the good dictionary does better, and the log of the good one's ratio."""
+    """The normalised difference of a text's compressed sizes: positive where the good dictionary does better, 0 for an empty text."""
 
     def __init__(self, good: bytes, bad: bytes):
         def make(data):
@@ -50,96 +53,123 @@ class Measure:
 
         self.good, self.bad = make(good), make(bad)
 
-    def __call__(self, data: bytes) -> tuple[float, float]:
+    def __call__(self, data: bytes) -> float:
         good = bad = 0
         for i in range(0, len(data), BLOCK):
             block = data[i : i + BLOCK]
             good += len(self.good.compress(block))
             bad += len(self.bad.compress(block))
-        return ((bad - good) / (bad + good + PRIOR), math.log(good / len(data))) if data else (0.0, 0.0)
+        return (bad - good) / len(data) if data else 0.0
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """w of P(y = 1) = 1 / (1 + exp(-(w0 + w1 x1 + w2 x2))), by Newton's method."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """(w0, w1) of P(y = 1) = 1 / (1 + exp(-(w0 + w1 x))), by Newton's method on the standardised x."""
+    mean, spread = float(x.mean()), float(x.std()) or 1.0
+    a, w = np.column_stack([np.ones(len(x)), (x - mean) / spread]), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hess = a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        hess = a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(2)
         step = np.linalg.solve(hess, a.T @ (y - p) - ridge * w)
         w += np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return float(w[0] - w[1] * mean / spread), float(w[1] / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
-    """A model from labelled rows whose crc32(doc_id as text) mod 3 is not 1.
+def _each(measure, kind: pa.DataType):
+    """measure(data, y) of every text of the rows (h, id, y, data), which it replaces."""
+
+    def run(batches):
+        for b in batches:
+            found = [measure(t.as_py() or b"", y) for t, y in zip(b.column(3), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, kind)], ["h", "id", "y", "x"])
+
+    return run
+
 
-    Of each class the `sample` rows of the smallest hash are taken; half build
-    the dictionaries, the rest calibrate, weighed to the classes' shares among
-    all training labels.  With one class or none the model is that share alone.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
+    """A model from labelled documents whose crc32(doc_id as text) mod 3 is not 1.
+
+    A document with both labels counts as bad.  Of each class the `sample` ids
+    of the smallest hash are taken, and of the rows of one id that of the
+    smallest text hash (then text), so neither repeated rows nor partitions
+    change the model.  About half build the dictionaries, from BLOCKS blocks
+    each (one a document at least); the others are measured whole, in tasks,
+    and calibrate, weighed to the classes' shares among all training labels.
+    The driver gets these blocks and measures of at most 2 * sample rows, never
+    texts.  With one class or none the model is that share alone.
     """
     train = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1) AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 != 1")
+    train = train.groupBy("doc_id").agg(F.min("y").alias("y"))
     shares = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = shares.get(0, 0), shares.get(1, 0)
-    flat = {"good": b"", "bad": b"", "weights": np.array([math.log((n[1] + 1) / (n[0] + 1)) if sum(n) else 0.0, 0.0, 0.0])}
+    flat = {"good": b"", "bad": b"", "weights": (math.log((n[1] + 1) / (n[0] + 1)) if sum(n) else 0.0, 0.0)}
     if not all(n):
         return flat
     order = F.xxhash64(F.col("doc_id"), F.lit(10))
     picked = train.filter("y = 0").orderBy(order, "doc_id").limit(sample).union(train.filter("y = 1").orderBy(order, "doc_id").limit(sample))
-    picked = F.broadcast(picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "y"))
-    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("_id", F.xxhash64("_id", F.lit(11)).alias("h"), "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted(((r["h"], r["_id"], r["y"], (r["text"] or "").encode()) for r in rows.collect()), key=lambda r: r[:2])
-    half = [[r for r in rows if r[2] == y][::2] for y in (0, 1)]
-    rest = [r for y in (0, 1) for r in [r for r in rows if r[2] == y][1::2]]
-    if not all(half) or len({r[2] for r in rest}) < 2:
+    picked = F.broadcast(picked.select(F.col("doc_id").alias("_id"), "y"))  # no more than 2 * sample rows
+    rows = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("data")).alias("t")).join(picked, F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id", "y").agg(F.min("t").alias("t"))
+    rows = written(rows.select(F.xxhash64("_id", F.lit(11)).alias("h"), F.col("_id").alias("id"), "y", F.col("t.data").alias("data")), "quality-labelled")
+    kind, halves = rows.schema["id"].dataType.simpleString(), rows.withColumn("build", F.pmod("h", F.lit(2)) == 0)
+    share = {r["y"]: -(-BLOCKS // r["n"]) for r in halves.filter("build").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def measured(build: bool, measure, name: str, arrow: pa.DataType) -> list:
+        half = halves.filter(F.col("build") == build).drop("build")
+        return sorted(half.mapInArrow(_each(measure, arrow), f"h long, id {kind}, y int, x {name}").collect(), key=lambda r: r[:2])
+
+    parts = measured(True, lambda data, y: blocks_of(data, share[y]), "array<binary>", pa.list_(pa.binary()))
+    good, bad = ([bytes(x) for r in parts if r["y"] == y for x in r["x"] or ()] for y in (1, 0))
+    if not good or not bad:
         return flat
-    model = {"good": build_dictionary([r[3] for r in half[1]]), "bad": build_dictionary([r[3] for r in half[0]])}
-    measure = Measure(model["good"], model["bad"])
-    weights = calibrate(np.array([measure(r[3]) for r in rest]), np.array([r[2] for r in rest], float))
-    seen = sum(r[2] for r in rest)
-    weights[0] += math.log(n[1] / n[0]) - math.log(seen / (len(rest) - seen))
-    return model | {"weights": weights}
+    model = {"good": build_dictionary(good), "bad": build_dictionary(bad)}
+    held = []
 
+    def measure(data: bytes, _) -> float:
+        if not held:
+            held.append(Measure(model["good"], model["bad"]))
+        return held[0](data)
 
-def _scores(model: dict):
-    def run(batches):
-        measure = Measure(model["good"], model["bad"]) if model["good"] else None
-        for b in batches:
-            data = b.column(1) if b.num_columns > 1 else b.column(0).field("text")
-            data = data.cast(pa.large_binary() if pa.types.is_large_string(data.type) else pa.binary())
-            x = np.array([measure(t.as_py()) if measure and t.is_valid else (0.0, 0.0) for t in data]).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-np.clip(model["weights"][0] + x @ model["weights"][1:], -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["row", "score"])
+    rest = measured(False, measure, "double", pa.float64())
+    seen = sum(r["y"] for r in rest)
+    if not 0 < seen < len(rest):
+        return flat
+    w0, w1 = calibrate(np.array([r["x"] for r in rest]), np.array([r["y"] for r in rest], float))
+    return model | {"weights": (w0 + math.log(n[1] / n[0]) - math.log(seen / (len(rest) - seen)), w1)}
 
-    return run
 
+def score(model: dict, text: Column) -> Column:
+    """The probability that the quality is 1, of the whole text alone; null and empty texts get that of a difference of 0."""
+    (w0, w1), held = model["weights"], []
 
-def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """Rows (row, score): a struct of the columns `keep`, and the probability that the quality is 1; only the text goes into it.
+    @F.arrow_udf("double")
+    def scores(data: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Measure(model["good"], model["bad"]) if model["good"] else lambda data: 0.0)
+        x = np.array([held[0](t.as_py() or b"") for t in data], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(w0 + w1 * x, -700, 700))), pa.float64())
 
-    Whole texts are read.  Null and empty texts get the score of a size
-    difference of 0; repeated rows score alike; an empty table gives no rows.
-    """
-    prepare(docs.sparkSession)
-    row = F.struct(*keep).alias("row")
-    # A text that is among the columns kept travels once, not twice.
-    rows = docs.select(row) if "text" in keep else docs.select(row, F.col("text").alias("data"))
-    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
-    return rows.mapInArrow(_scores(model), schema)
+    return scores(text.cast("binary"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs."""
-    rows = scored(docs, fit(docs, labels), ["doc_id"]).select("row.doc_id", "score")
+    """doc_id, held_out, score, predicted of every row of docs(doc_id, text, ...).
+
+    Whole texts are read, very long ones block by block.  Null and empty texts
+    get the score of a size difference of 0; rows without a doc_id are scored
+    and never held out; repeated rows score alike; other columns are not
+    touched; an empty table gives no rows.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), score(fit(docs, labels), F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier predicts to be good."""
-    return scored(docs, fit(docs, labels), docs.columns).filter("score >= 0.5").select("row.*")
+    """The rows of docs, with all their columns, that the classifier predicts to be good; odd rows as in quality()."""
+    rows = docs.select(F.struct("*").alias("row"), score(fit(docs, labels), F.col("text")).alias("score"))
+    return rows.filter("score >= 0.5").select("row.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
