@@ -1,30 +1,31 @@
 """Mixing sources to target weights by entropy balancing.
 
 The mix gives each document a rate: how often it is repeated.  Of all rates
-between 0 and `cap` that meet the token targets, those nearest the corpus (in
-Kullback-Leibler divergence, each document weighed by its tokens) are
+between 0 and `cap` that meet the sources' token targets, those of the least
+Kullback-Leibler divergence from one copy of every document are exponentially
+tilted by the document's tokens,
 
-    rate_i = min(cap, exp(sum of the tilts of document i's margins))
+    rate_i = min(cap, exp(tilt of its source * tokens_i / longest of its source))
 
 and the tilts minimise a convex dual whose gradient is the tokens that the mix
 takes less the target.  Each Newton step is one distributed aggregation over
-cells of equal (margins, size); only sums per margin value reach the driver.
+cells of equal (source, size); targets, tilts and their brackets stay in tables
+with a row for each source, and only sums over all sources reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import discard, placed, ranked, table, written
 
-#: Most distinct values of a margin (sources, say), and of their combinations: what the driver may hold.
-MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: Relative distance from the target at which a source's tilt is done, and Newton steps at most (a step that leaves the bracket halves it).
+TOLERANCE, ROUNDS = 1e-9, 80
 
 
 def word_count(text: Column) -> Column:
@@ -32,88 +33,91 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: dict, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> dict:
-    """Targets in tokens: sources in code-point order (None last) take the
-    weights in turn and share `share` times all tokens; a target stops at `cap`
-    times its source's size and the excess is shared anew among the others."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    target = dict.fromkeys(names, 0.0)
-    free, left = list(names), share * sum(sizes.values())
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] > cap * sizes[s]]
-        for s in full or free:
-            target[s] = float(cap * sizes[s]) if full else unit * weight[s]
-        left -= sum(target[s] for s in full)
-        free = [s for s in free if s not in set(full)] if full else []
-    return target
-
-
-def solve_tilts(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float = 2.0, tol: float = 1e-10, rounds: int = 60) -> dict[str, dict[str, float]]:
-    """The tilt of each margin value.
-
-    cells: string columns named as the margins in `targets`, and `tokens`.
-    Every margin's targets are one token constraint per value.  With several
-    margins the Newton step solves their joint system; a margin alone has a
-    diagonal one.  Where constraints cannot all be met, the least-squares step
-    is taken until it stops gaining.
+def source_targets(sources: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """sources(skey, source_size, ...) with a target each.
+
+    In the order of skey they take the weights in turn and share `share` times
+    all tokens; a target stops at `cap` times its source's size and the excess
+    is shared anew among the others by weight, until none is above.
     """
-    spark, margins = cells.sparkSession, list(targets)
-    index = {(m, v): i for i, (m, v) in enumerate((m, v) for m in margins for v in targets[m])}
-    if len(index) > MAX_SOURCES:
-        raise ValueError(f"{len(index)} margin values; the bound is {MAX_SOURCES}")
-    goal = np.array([targets[m][v] for m, v in index])
-    top = math.log(cap)
-    tilt = np.zeros(len(index))
-    for _ in range(rounds):
-        x = cells
-        for m in margins:
-            rows = [(v, float(tilt[index[m, v]])) for v in targets[m]]
-            x = x.join(F.broadcast(spark.createDataFrame(rows, f"{m} string, _t_{m} double")), m)
-        eta = sum((F.col(f"_t_{m}") for m in margins), F.lit(0.0))
-        taken = F.col("tokens") * F.exp(F.least(eta, F.lit(top)))
-        x = x.groupBy(*margins).agg(F.sum(taken).alias("g"), F.sum(F.when(eta <= top + 1e-12, taken).otherwise(0.0)).alias("h"))
-        sums = x.limit(MAX_SOURCES + 1).collect()
-        if len(sums) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} combinations of margin values")
-        grad, diag, off = -goal.copy(), np.zeros(len(index)), {}
-        for r in sums:
-            at = [index[m, r[m]] for m in margins]
-            for i in at:
-                grad[i] += r["g"]
-                diag[i] += r["h"]
-                for j in at:
-                    if i != j:
-                        off[i, j] = off.get((i, j), 0.0) + r["h"]
-        live = (diag > 0) & ~((tilt >= top) & (grad < 0) & (len(margins) == 1))
-        if not live.any() or np.all(np.abs(grad[live]) <= tol * np.maximum(goal[live], 1.0)):
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    rows = written(placed(sources, "skey").withColumn("weight", F.get(turn, F.pmod("place", F.lit(len(weights))).cast("int"))).drop("place"), "mix-weights")
+    total, unit = None, 0.0
+    while True:
+        full = F.col("weight") * unit > cap * F.col("source_size")
+        sums = rows.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if total is None:
+            total = share * (sums[0] or 0)
+        free = sums[2] or 0.0
+        nxt = (total - cap * (sums[1] or 0)) / free if free else unit
+        if nxt <= unit:
             break
-        if off:
-            hess = np.diag(diag + 1e-9 * (1 + diag))
-            for (i, j), h in off.items():
-                hess[i, j] = h
-            step = np.linalg.lstsq(hess, -grad, rcond=1e-12)[0]
-        else:
-            step = np.where(live, -grad / np.where(diag > 0, diag, 1.0), 0.0)
-        tilt = tilt + np.clip(step, -2.0, 2.0)
-        if len(margins) == 1:
-            tilt = np.minimum(tilt, top)
-    return {m: {v: float(tilt[index[m, v]]) for v in targets[m]} for m in margins}
+        unit = nxt
+    return rows.withColumn("target", F.when(full, cap * F.col("source_size")).otherwise(unit * F.col("weight"))).drop("weight")
+
+
+def rate(tilt: Column, size: Column, longest: Column, cap: float) -> Column:
+    """The rate of a document: the tilted one, at most cap; 1 for one without tokens."""
+    return F.least(F.lit(float(cap)), F.exp(tilt * size / longest))
+
+
+def solve_tilts(cells: DataFrame, sources: DataFrame, cap: float = 2.0) -> DataFrame:
+    """sources with the tilt of each.
+
+    cells: skey, size, n (documents of that size).  sources: skey,
+    source_size, shortest (above 0), longest, target.  A source without
+    tokens, or whose target is cap times its size, needs no search.  The dual
+    is separable, so each source has a Newton step of its own, on the logarithm
+    of the tokens taken; sums are exact decimals, so reruns agree.
+    """
+    c = F.col
+    # Every document's rate lies between 1 and that of the shortest at these ends.
+    end = lambda ratio: F.log(ratio) * c("longest") / c("shortest")
+    free = (c("source_size") > 0) & (c("target") < cap * c("source_size"))
+    ratio = c("target") / c("source_size")
+    state = sources.withColumns({
+        "low": F.when(free, F.least(end(ratio), F.lit(0.0))),
+        "high": F.when(free & (ratio > 1), end(F.lit(float(cap)))).when(free, F.lit(0.0)),
+        "tilt": F.when(free, F.lit(0.0)).when(c("source_size") > 0, end(F.lit(float(cap)))).otherwise(0.0),
+        "done": ~free,
+    })
+    state = written(state, "mix-tilts")
+    for _ in range(ROUNDS):
+        at = cells.join(state.filter("NOT done").select("skey", "tilt", "longest"), "skey")
+        r, exact = rate(c("tilt"), c("size"), c("longest"), cap), lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
+        taken = c("n") * c("size") * r
+        slope = F.when(r < cap, taken * c("size") / c("longest")).otherwise(0.0)
+        sums = at.groupBy("skey").agg(exact(taken).alias("taken"), exact(slope).alias("slope"))
+        # Beyond a kink the slope may be 0 and the step null; the bracket's middle serves then.
+        nxt = state.join(sums, "skey", "left").withColumns({
+            "done": c("done") | (F.abs(c("taken") - c("target")) <= TOLERANCE * c("target")) | (c("low") >= c("high")),
+            "low": F.when(c("taken") < c("target"), c("tilt")).otherwise(c("low")),
+            "high": F.when(c("taken") > c("target"), c("tilt")).otherwise(c("high")),
+        })
+        step = c("tilt") + F.log(c("target") / c("taken")) * c("taken") / F.nullif(c("slope"), F.lit(0.0))
+        inside = (step > c("low")) & (step < c("high"))
+        nxt = nxt.withColumn("tilt", F.when(c("done"), c("tilt")).when(inside, step).otherwise((c("low") + c("high")) / 2)).drop("taken", "slope")
+        state, old = written(nxt, "mix-tilts"), state
+        discard(old)
+        if state.filter("NOT done").isEmpty():
+            break
+    return state.drop("low", "high", "done")
 
 
 def _round_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     """Copies for each cell of a source, largest sizes first: what rounding
     leaves over is carried to the next cell, so the source's words end within
-    about half a small document of the target."""
+    half its longest document of the target, and of many documents within about
+    half its shortest."""
     pdf = pdf.sort_values("size", ascending=False)
-    carry, out = 0.0, []
-    for size, n, rate, cap in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), pdf["cap"].tolist(), strict=True):
+    carry, out, counts = 0.0, [], pdf["n"].tolist()
+    for size, n, rate, cap in zip(pdf["size"].tolist(), counts, pdf["rate"].tolist(), pdf["cap"].tolist(), strict=True):
         want = n * rate + (carry / size if size else 0.0)
         copies = int(min(max(math.floor(want + 0.5), 0), math.floor(n * cap)))
         carry += (n * rate - copies) * size
         out.append(copies)
-    return pd.DataFrame({"skey": pdf["skey"], "size": pdf["size"], "base": [c // n for c, n in zip(out, pdf["n"].tolist(), strict=True)], "extra": [c % n for c, n in zip(out, pdf["n"].tolist(), strict=True)]})
+    each = {"base": [c // n for c, n in zip(out, counts, strict=True)], "extra": [c % n for c, n in zip(out, counts, strict=True)]}
+    return pdf[["skey", "size", "source_size", "target", "rate"]].assign(**each)
 
 
 def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -121,28 +125,24 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: in
 
     Returns one row per row of docs: doc_id, text_hash (long, of the text),
     source, size, source_size, target, rate, copies, taken.  Null or wordless
-    texts have size 0 and take nothing; null is a source of its own, after all
-    others; rows without a doc_id and repeated rows count like any other; an
-    empty table gives no rows.  Reruns on the same rows agree, but equal rows
-    may swap their copies.  A source's distinct sizes (no more than its longest
-    document has words) meet in one task; its documents do not.
+    texts have size 0 and the rate 1, and take nothing; a very long text is one
+    document like any other, and where a source has little else its words end
+    as near the target as whole copies of it allow.  Null is a source of its
+    own, after all others; rows without a doc_id and repeated rows count like
+    any other; other columns are not read; an empty table gives no rows.
+    Reruns on the same rows agree, but equal rows may swap their copies.  A
+    source's distinct sizes (no more than its longest document has words) meet
+    in one task; its documents do not.
     """
-    base = docs.select("doc_id", F.col("source"), F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    base = written(base, "mix-sizes")
+    skey = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))  # "-" comes after all others
+    base = written(docs.select("doc_id", "source", skey.alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
     cells = written(base.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
-    totals = cells.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {None if r["skey"] == "-" else r["skey"][1:]: int(r["t"]) for r in totals}
-    targets = source_targets(sizes, weights, share, cap)
-    key = lambda s: "-" if s is None else f"+{s}"
-    tilts = solve_tilts(cells.select("skey", (F.col("size") * F.col("n")).alias("tokens")), {"skey": {key(s): t for s, t in targets.items() if sizes[s]}}, cap)["skey"] if any(sizes.values()) else {}
-    rates = [(key(s), sizes[s], targets[s], round(min(float(cap), math.exp(tilts[key(s)])), 9) if key(s) in tilts else 0.0, float(cap)) for s in sizes]
-    rates = docs.sparkSession.createDataFrame(rates, "skey string, source_size long, target double, rate double, cap double")
-    plan = cells.join(F.broadcast(rates), "skey").groupBy("skey").applyInPandas(_round_cells, "skey string, size long, base long, extra long")
-    plan = written(plan, "mix-plan")
+    sources = cells.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("shortest"), F.greatest(F.max("size"), F.lit(1)).alias("longest"))
+    tilts = solve_tilts(cells, source_targets(sources, weights, share, cap), cap)
+    plan = cells.join(tilts, "skey").select("skey", "size", "n", "source_size", "target", F.round(rate(F.col("tilt"), F.col("size"), F.col("longest"), cap), 9).alias("rate"), F.lit(float(cap)).alias("cap"))
+    plan = written(plan.groupBy("skey").applyInPandas(_round_cells, "skey string, size long, source_size long, target double, rate double, base long, extra long"), "mix-plan")
     copies = F.col("base") + (F.col("place") < F.col("extra")).cast("long")
-    out = ranked(base, ["skey", "size"], ["doc_id", "text_hash"], "place").join(plan, ["skey", "size"]).join(F.broadcast(rates), "skey")
+    out = ranked(base, ["skey", "size"], ["doc_id", "text_hash"], "place").join(plan, ["skey", "size"])
     return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -163,6 +163,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
