@@ -14,19 +14,18 @@ import bisect
 import json
 import sys
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, ranked, table, written
+from .common import ranked, table, written
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
-#: Steps that an enumeration of fillings may take, from start to start of a large search.
-WIDTHS = (20, 60, 150, 400, 1_000, 3_000)
-#: Nodes that a large search visits after its first way down before it starts anew.
-BACKTRACK = 200
+#: Fillings that a node tries, from start to start of the search, and the nodes of each start.
+WIDTHS, EFFORT = (1, 2, 4, 16, 2_000), 4_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -69,73 +68,82 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, n) for room in groups.values() for p, n in room.items()]
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, limit: int, enough: bool = False) -> list[Pattern]:
-    """Undominated sets of the lengths left that fill `room` up to at most `waste`, fullest first, then those of longer pieces.
+def fillings(counts: dict[int, int], room: int, waste: int, limit: int) -> tuple[list[Pattern], bool]:
+    """Undominated sets of the lengths left that fill `room` up to at most `waste`, and whether they are all of them.
 
-    At most `limit` steps are taken, or, if `enough`, until a set leaves no
-    waste.  Dropped: those that a length left still fits into, and those in which one
-    piece, or two, could give way to a larger one that fits their place.
+    Fullest first, then those of longer pieces; at most `limit` sets.  Which
+    sums the lengths from each on can make is known beforehand, as the bits of
+    one number, so every step of the enumeration leads to a set.  Dropped:
+    those that a length left still fits into, and those in which one piece, or
+    two, could give way to a larger one that fits their place.
     """
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
-    reach = [0] * (len(lengths) + 1)
+    mask, sums = (1 << (room + 1)) - 1, [1] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
-        reach[i] = min(room, reach[i + 1] + lengths[i] * counts[lengths[i]])
-    found, budget = [], [limit]
+        x, reach, left, step = lengths[i], sums[i + 1], min(counts[lengths[i]], room // lengths[i]), 1
+        while left:
+            step = min(step, left)
+            reach |= reach << (step * x)
+            left, step = left - step, step * 2
+        sums[i] = reach & mask
+    rising = lengths[::-1]
 
-    def grow(i: int, left: int, chosen: list[tuple[int, int]]) -> None:
-        budget[0] -= 1
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if i == len(lengths):
-            if left <= waste:
-                found.append((left, tuple(chosen)))
-                if enough and not left:
-                    budget[0] = -1
+    def grow(i: int, left: int, chosen: Pattern):
+        if not left:
+            yield chosen
             return
-        for j in range(i, len(lengths)):
-            if budget[0] < 0 or left - reach[j] > waste:
-                return
-            x = lengths[j]
+        i = max(i, len(lengths) - bisect.bisect_right(rising, left))
+        while i < len(lengths) and sums[i] >> left & 1:
+            x = lengths[i]
             for k in range(min(counts[x], left // x), 0, -1):
-                grow(j + 1, left - k * x, [*chosen, (x, k)])
-
-    grow(0, room, [])
-    rest = sorted(lengths)
+                if sums[i + 1] >> (left - k * x) & 1:
+                    yield from grow(i + 1, left - k * x, (*chosen, (x, k)))
+            i += 1
 
     def dominated(left: int, chosen: Pattern) -> bool:
         used = dict(chosen)
-        spare = [x for x in rest if counts[x] > used.get(x, 0)]
+        spare = [x for x in rising if counts[x] > used.get(x, 0)]
         if spare and spare[0] <= left:
             return True
         pieces = [x for x, k in chosen for _ in range(min(k, 2))]
-        sums = {(x, x) for x in pieces} | {(a + b, a + b) for i, a in enumerate(pieces) for b in pieces[i + 1 :]}
-        for low, _ in sums:
-            single = low in used
-            at = bisect.bisect_right(spare, low) if single else bisect.bisect_left(spare, low)
-            if at < len(spare) and spare[at] <= low + left and (spare[at] > low or not single):
-                return True
-        return False
+        pairs = {a + b for i, a in enumerate(pieces) for b in pieces[i + 1 :]}
+        places = [(bisect.bisect_right(spare, x), x) for x in used] + [(bisect.bisect_left(spare, x), x) for x in pairs]
+        return any(at < len(spare) and spare[at] <= x + left for at, x in places)
+
+    found: list[Pattern] = []
+    for over in range(min(waste, room) + 1):
+        for c in grow(0, room - over, ()) if sums[0] >> (room - over) & 1 else ():
+            if not dominated(over, c):
+                found.append(c)
+                if len(found) == limit:
+                    return found, False
+    return found, True
+
+
+class Plan(NamedTuple):
+    """patterns: each with its number of sequences; least: a lower bound of all sequences; proven: none has fewer."""
 
-    found.sort(key=lambda f: (f[0], [(-x, -k) for x, k in f[1]]))
-    return [c for left, c in found if not dominated(left, c)]
+    patterns: list[tuple[Pattern, int]]
+    least: int
+    proven: bool
 
 
-def complete(counts: dict[int, int], capacity: int, effort: int = 20_000) -> list[tuple[Pattern, int]]:
+def complete(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> Plan:
     """Patterns that hold all pieces of the histogram in as few sequences as the search finds.
 
-    effort: how many nodes the search may visit.  Up to 200 pieces, a pattern is
-    taken once at a time and all undominated fillings are tried: optimal within
-    the effort.  Beyond, a pattern is repeated as often as its lengths last,
-    nodes along the way complete their partial solutions by best fit, and the
-    search starts anew with wider enumerations, sharing the effort, after a
-    few turns back (BACKTRACK).
+    One search for all sizes: around the longest piece left it tries the
+    undominated fillings, each as often as its lengths last and once, and turns
+    back where the waste that a better solution may still have is used up.
+    Nodes along the way complete their partial solutions by best fit.  It
+    starts anew with more fillings a node (WIDTHS), `effort` nodes each, until
+    a solution meets the bound or a start has tried everything.  Otherwise it is
+    a heuristic: `proven` tells.
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
-    size, number = sum(n for _, n in best), sum(counts.values())
-    total, many = sum(x * n for x, n in counts.items()), number > 200
+    size, total = sum(n for _, n in best), sum(x * n for x, n in counts.items())
     bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    nodes = 0
+    nodes, whole = 0, False
 
     def better(solution: list[tuple[Pattern, int]]) -> None:
         nonlocal best, size
@@ -144,42 +152,46 @@ def complete(counts: dict[int, int], capacity: int, effort: int = 20_000) -> lis
             best, size = list(solution), n
 
     def search(left: dict[int, int], used: int, wasted: int, chosen: list, width: int) -> None:
-        nonlocal nodes
+        nonlocal nodes, whole
         nodes -= 1
         if not left:
             better(chosen)
-        if nodes < 0 or size <= bound or not left:
+        if size <= bound or not left:
             return
         if used + -(-sum(x * n for x, n in left.items()) // capacity) >= size:
             return
-        if many and len(chosen) % 16 == 0:
+        if len(chosen) % 16 == 0:
             better([*chosen, *best_fit(left, capacity)])
         allowed = (size - 1) * capacity - total - wasted
         top = max(left)
-        rest = left | {top: left[top] - 1}
-        options = fillings(rest, capacity - top, allowed, width, many)
-        if many and not options:  # the way down has ended: some turns back from here, then a wider start
-            nodes = min(nodes, BACKTRACK)
+        options, every = fillings(left | {top: left[top] - 1}, capacity - top, allowed, width)
+        whole &= every
         for c in options:
             need = dict(c)
             need[top] = need.get(top, 0) + 1
             waste = capacity - sum(x * k for x, k in need.items())
-            times = min(left[x] // k for x, k in need.items()) if many else 1
+            times = min(left[x] // k for x, k in need.items())
             times = min(times, max(1, allowed // waste)) if waste else times
-            after = {x: n for x, n in ((x, n - need.get(x, 0) * times) for x, n in left.items()) if n}
-            search(after, used + times, wasted + waste * times, [*chosen, (tuple(sorted(need.items(), reverse=True)), times)], width)
-            if nodes < 0 or size <= bound:
-                return
+            pattern = tuple(sorted(need.items(), reverse=True))
+            for n in dict.fromkeys((times, 1)):
+                if nodes < 0:
+                    whole = False
+                if nodes < 0 or size <= bound:
+                    return
+                after = {x: m for x, m in ((x, m - need.get(x, 0) * n) for x, m in left.items()) if m}
+                search(after, used + n, wasted + waste * n, [*chosen, (pattern, n)], width)
 
     depth = sys.getrecursionlimit()
     sys.setrecursionlimit(max(depth, 20_000))
     try:
-        for width in WIDTHS if many else (2_000,):
-            nodes = effort // (len(WIDTHS) if many else 1)
+        for width in WIDTHS:
+            nodes, whole = effort, True
             search(counts, 0, 0, [], width)
+            if size <= bound or whole:
+                break
     finally:
         sys.setrecursionlimit(depth)
-    return best
+    return Plan(best, bound, size <= bound or whole)
 
 
 def encoder(path: str):
@@ -243,7 +255,6 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     Longer documents are cut into pieces of `capacity` ids; what is left over is the first piece.
     """
-    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_pieces(path, capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -275,7 +286,7 @@ def _place(slots: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = EFFORT) -> DataFrame:
     """Place every piece of docs(doc_id, text, ...): token_pieces()' columns, sequence_id and offset.
 
     A null text is empty (its only id is end_id); repeated rows and rows
@@ -285,7 +296,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effo
     """
     pieces = written(token_pieces(docs, path, capacity, end_id), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = _slots(complete(counts, capacity, effort))
+    slots = _slots(complete(counts, capacity, effort).patterns)
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "place")
     return placed.mapInArrow(_place(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
