@@ -1,12 +1,13 @@
 """Exact top-k by integer inner product, with MaxScore.
 
-Every dimension is two terms, one for positive and one for negative weights,
-whose postings are the dimension's column in a shard.  For a query, the terms
-that can add to a score are bounded by their largest weight in the shard.
-Those of the smallest bounds whose sum stays under the query's k-th best score
-so far are not essential: a row with nothing but them cannot enter the result.
-Essential postings are traversed first, then rows that may still compete are
-probed in the rest, and the shards' results are merged.
+Every dimension is a term whose postings are the rows of a shard that have a
+weight in it.  For a query, what a term can add to a score is bounded by its
+largest weight in the shard.  Those of the smallest bounds whose sum stays
+under the query's k-th best score so far are not essential: a row with nothing
+but them cannot enter the result.  Essential postings are traversed first; the
+k rows that lead then are scored in full, which raises the k-th best score, and
+rows that may still compete are probed in the other terms, as long as they do.
+The shards' results are merged.
 """
 
 from __future__ import annotations
@@ -18,44 +19,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .blocks import best, matrix, usable
-from .common import prepare, table, written
+from .common import table, written
 
 #: Rows of a shard, queries that one task asks it, and rows that prime each query's threshold.
 SHARD, QUERY_BLOCK, PRIMER = 8192, 4096, 2048
+#: Terms that competing rows are probed in between two checks.
+PROBE = 8
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Rows (id, vec array<long>): floor(scale * component) of every vector that has no null or non-finite component."""
-    rows = usable(vectors, id_col, vec_col)
-    return rows.select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("long")).alias("vec"))
-
+    """Rows (id, vec array<long>): floor(scale * component) of every vector that has no null or non-finite component.
 
-def maxscore(query: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of a query's k best rows of a shard (ids break ties), of those that score at least `floor`.
-
-    rows: integers held in doubles, exact below 2^53; columns are contiguous.
-    low, high: each column's least and largest weight, 0 included.
+    A component that a long cannot hold then is refused: the query fails.
     """
-    bound = np.maximum(query * low, query * high)  # of the term of each dimension that can add to a score
-    order = np.argsort(bound, kind="stable")
-    reach = np.cumsum(bound[order])
-    cut = int(np.searchsorted(reach, floor, "left"))  # the terms before it cannot reach the floor by themselves
-    rest, essential = order[:cut], order[cut:]
-    if not len(essential):
-        return np.zeros(0, np.int64), np.zeros(0)
-    partial = rows[:, essential] @ query[essential]
-    spare = reach[cut - 1] if cut else 0
-    alive = np.flatnonzero(partial + spare >= floor)
-    # Probing from the largest bound down, as long as a row competes.
-    score = partial[alive]
-    for at in range(cut, 0, -8):
-        dims = order[max(at - 8, 0) : at]
-        score = score + rows[np.ix_(alive, dims)] @ query[dims]
-        left = reach[at - 9] if at > 8 else 0
-        keep = score + left >= floor
+    rows = usable(vectors, id_col, vec_col)
+    held = lambda x: F.when(F.abs(x * scale) < float(1 << 63), F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a scaled component exceeds 64 bits")).cast("long"))
+    return rows.select("id", F.transform("vec", held).alias("vec"))
+
+
+class Shard:
+    """A shard's postings: for each term the positions of its rows (None: most rows, so all are listed) and their weights, and its bounds, 0 included."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids, self.postings = rows, ids, []
+        for column in rows.T:
+            at = np.flatnonzero(column)
+            self.postings.append((at, column[at]) if 2 * len(at) < len(column) else (None, np.ascontiguousarray(column)))
+        self.low, self.high = rows.min(0, initial=0), rows.max(0, initial=0)
+
+
+def maxscore(query: np.ndarray, shard: Shard, k: int, floor: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions, scores) of a query's k best rows of a shard (ids break ties), of those that score at least `floor`; and how many rows were probed."""
+    bound = np.maximum(query * shard.low, query * shard.high)
+    order = np.argsort(-bound, kind="stable")
+    spare = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the terms from each on can add
+    cut = int(np.count_nonzero(spare[:-1] >= floor))
+    partial = np.zeros(len(shard.rows), shard.rows.dtype)
+    for term in order[:cut]:
+        at, weights = shard.postings[term]
+        if at is None:
+            partial += query[term] * weights
+        else:
+            partial[at] += query[term] * weights
+    alive = np.flatnonzero(partial + spare[cut] >= floor)
+    if len(alive) > k:
+        lead = alive[np.argpartition(-partial[alive], k - 1)[:k]]
+        floor = max(floor, (partial[lead] + shard.rows[np.ix_(lead, order[cut:])] @ query[order[cut:]]).min())
+        alive = alive[partial[alive] + spare[cut] >= floor]
+    score, probed = partial[alive], len(alive)
+    for i in range(cut, len(order), PROBE):
+        terms = order[i : i + PROBE]
+        score = score + shard.rows[np.ix_(alive, terms)] @ query[terms]
+        keep = score + spare[min(i + PROBE, len(order))] >= floor
         alive, score = alive[keep], score[keep]
-    at = best(score, ids[alive], k)
-    return alive[at], score[at]
+    keep = score >= floor
+    alive, score = alive[keep], score[keep]
+    at = best(score, shard.ids[alive], k)
+    return alive[at], score[at], probed
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -63,27 +83,32 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     rows, queries: (id long, vec array<long>), as of quantised().  Ties go to
     the smaller id; rows equal in id and vector are one row; shorter vectors
-    count as ending in zeros.  Products are exact while they stay below 2^53.
-    An empty table or query set gives no rows; fewer candidates than k are all
-    returned.
+    count as ending in zeros.  Scores are exact: in doubles where none can reach
+    2^53, in 64-bit integers beyond; vectors whose scores could exceed these are
+    refused.  An empty table or query set gives no rows; fewer candidates than k
+    are all returned.
     """
     spark = rows.sparkSession
-    prepare(spark)
     rows, asks = written(rows.distinct(), "topk-rows"), written(queries.distinct(), "topk-queries")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).first()
-    wants = asks.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).first()
+    sizes = F.transform("vec", lambda x: F.abs(x.cast("double")))
+    total = F.aggregate(sizes, F.lit(0.0), lambda t, x: t + x)
+    facts, wants = (df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w"), F.max(F.array_max(sizes)).alias("most"), F.max(total).alias("sum")).first() for df in (rows, asks))
     if not facts["n"] or not wants["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(facts["w"], wants["w"], 1)
-    shards, blocks = -(-facts["n"] // SHARD), -(-wants["n"] // QUERY_BLOCK)
+    reach = 1.001 * min((facts["most"] or 0) * (wants["sum"] or 0), (facts["sum"] or 0) * (wants["most"] or 0))
+    if reach >= 1 << 62:
+        raise ValueError("scores may exceed 64 bits")
+    kind = np.float64 if reach < 1 << 53 else np.int64
+    shards, blocks = max(-(-facts["n"] // SHARD), min(spark.sparkContext.defaultParallelism, -(-facts["n"] // 256))), -(-wants["n"] // QUERY_BLOCK)
     # The k + 1-th best of any rows is no more than that of all: a valid floor, itself among them.
-    primer = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(PRIMER).select("vec").toArrow()["vec"], width)
+    primer = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(PRIMER).select("vec").toArrow()["vec"], width, kind)
 
     def prime(batches):
         for b in batches:
-            x = matrix(b.column("vec"), width)
+            x = matrix(b.column("vec"), width, kind)
             scores = x @ primer.T
-            floor = np.partition(scores, len(primer) - k - 1, axis=1)[:, len(primer) - k - 1] if len(primer) > k else np.full(len(x), -(2.0**62))
+            floor = np.partition(scores, len(primer) - k - 1, axis=1)[:, len(primer) - k - 1] if len(primer) > k else np.full(len(x), -(1 << 62))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor.astype(np.int64))], [*b.schema.names, "floor"])
 
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -92,21 +117,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asks = asks.mapInArrow(prime, "id long, vec array<long>, floor long")
     right = asks.withColumn("q", part(blocks)).withColumn("s", every(shards))
 
-    def shard(xs: pa.Table, qs: pa.Table) -> pa.Table:
+    def ask(xs: pa.Table, qs: pa.Table) -> pa.Table:
         ids, asking = xs["id"].to_numpy(), qs["id"].to_numpy()
         found = ([], [], [])
         if len(ids) and len(asking):
-            x, q, floor = np.asfortranarray(matrix(xs["vec"], width)), matrix(qs["vec"], width), qs["floor"].to_numpy()
-            low, high = np.minimum(x.min(0), 0), np.maximum(x.max(0), 0)
+            held, q, floor = Shard(matrix(xs["vec"], width, kind), ids), matrix(qs["vec"], width, kind), qs["floor"].to_numpy()
             for i in range(len(q)):
-                at, scores = maxscore(q[i], x, low, high, ids, k + 1, int(floor[i]))
+                at, scores, _ = maxscore(q[i], held, k + 1, int(floor[i]))
                 found[0].append(np.full(len(at), asking[i]))
                 found[1].append(ids[at])
                 found[2].append(scores)
         columns = [np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64) for f in found]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    hits = left.groupBy("s", "q").cogroup(right.groupBy("s", "q")).applyInArrow(shard, "query_id long, vec_id long, score long")
+    hits = left.groupBy("s", "q").cogroup(right.groupBy("s", "q")).applyInArrow(ask, "query_id long, vec_id long, score long")
     hits = hits.filter("vec_id != query_id").distinct()
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
