@@ -10,29 +10,37 @@ what the markup allows.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import table
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Wording of public licenses and notices, with this module's markup.
-TEMPLATES = {
+# One-line notices, with this module's markup.
+NOTICES = {
     "mit-notice": "<<beginOptional>> is <<endOptional>> released under the <<beginOptional>> terms of the <<endOptional>> MIT license",
     "apache-2.0-notice": "licensed under the Apache License <<beginOptional>> , Version <<endOptional>> 2.0 <<beginOptional>> (the License) <<endOptional>>",
     "gpl-3.0-notice": "licensed under the GNU General Public License <<beginOptional>> (GPL) <<endOptional>> , version 3 <<beginOptional>> .0 <<endOptional>>",
     "gpl-2.0-notice": "licensed under the GNU General Public License <<beginOptional>> (GPL) <<endOptional>> , version 2 <<beginOptional>> .0 <<endOptional>>",
     "cc-by-nc-4.0-notice": "licensed under <<beginOptional>> a Creative Commons license <<var;0-3>> <<endOptional>> CC BY-NC 4.0",
-    "gpl-program-notice": "This program is free software <<beginOptional>> : <<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation <<var;0-12>> version <<var;1-3>> of the License",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;1-12>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>> (including the next paragraph) <<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;1-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "cc-by-4.0-notice": "licensed under <<beginOptional>> a <<endOptional>> Creative Commons Attribution 4.0 International <<beginOptional>> Public <<endOptional>> License",
+    "cc-by-sa-4.0-notice": "licensed under <<beginOptional>> a <<endOptional>> Creative Commons Attribution-ShareAlike 4.0 International <<beginOptional>> Public <<endOptional>> License",
 }
 
+
+def read_templates(folder: str) -> dict[str, str]:
+    """Marked-up templates by label: the .txt files of a folder of the driver's."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("*.txt"))}
+
+
+#: The notices and the license texts and headers in the folder `templates` beside this module.
+TEMPLATES = NOTICES | read_templates(str(Path(__file__).with_name("templates")))
+
 #: Bytes of a word: letters and digits of ASCII, lower-cased, and all of other characters; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 ANY = None
@@ -160,10 +168,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
     adds every template that accepts a stretch of the text.  score is the
     largest share of a template's mandatory words matched from their start on
     (at least 0.5 where there is a phrase, 1 where a template accepts).  A null
-    text is empty: no words, no labels (empty strings), score 0; rows without a
-    doc_id and repeated rows are scanned like any other.
+    text is empty: no words, no labels (empty strings), score 0; very long texts
+    are read whole, each in one task; rows without a doc_id and repeated rows
+    are scanned like any other; other columns are not read; an empty table gives
+    no rows.
     """
-    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary"))
     return rows.mapInArrow(_scans(templates, phrases), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
