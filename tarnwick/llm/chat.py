@@ -17,6 +17,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 # A placeholder for each type of part that is not text, and the tokens it expands to where a part names none.
 PLACEHOLDERS = {"image": ("<|image|>", 576), "audio": ("<|audio|>", 250), "document": ("<|document|>", 1024)}
 PART = "struct<type:string,text:string,ref:string,tokens:int>"
+# What counts as a reference to an attachment within a text, and the types of those that are not documents by their endings.
+REFERENCE = r"https?://[^\x20\x09-\x0D()<>]+[.](?:png|jpg|jpeg|gif|webp|wav|mp3|flac|ogg|pdf|docx)"
+ENDINGS = {"image": "[.](?:png|jpg|jpeg|gif|webp)$", "audio": "[.](?:wav|mp3|flac|ogg)$"}
 
 
 def escape(text: Column) -> Column:
@@ -43,12 +46,26 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), null.cast("string").alias("ref"), null.cast("int").alias("tokens")))
 
 
+def referring_parts(text: Column) -> Column:
+    """A text as a text part, and after it a part for each attachment that it refers to by a URL (REFERENCE), in order."""
+    null = F.lit(None)
+
+    def part(ref):
+        kind = F.lit("document")
+        for name, ending in ENDINGS.items():
+            kind = F.when(ref.rlike(ending), name).otherwise(kind)
+        return F.struct(kind.alias("type"), null.cast("string").alias("text"), ref.alias("ref"), null.cast("int").alias("tokens"))
+
+    return F.concat(text_parts(text), F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(REFERENCE), F.lit(0)), part))
+
+
 def flatten(parts: Column) -> tuple[Column, Column]:
-    """(content, attachments) of an array of parts (type, text, ref, tokens).
+    """The visitor: (pieces, attachments) of an array of parts (type, text, ref, tokens).
 
-    attachments: part (its position), type, ref, tokens (its own, else its
-    type's).  A part of type text or null is text; unknown types count as
-    documents; null parts are left out.
+    pieces: text (whether it is text), content (escaped text or a placeholder)
+    of each part.  attachments: part (its position), type, ref, tokens (its
+    own, else its type's).  A part of type text or null is text; unknown types
+    count as documents; null parts are left out.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     kind = lambda p: F.when(p["type"].isNull() | (p["type"] == "text"), "text").when(p["type"].isin("image", "audio"), p["type"]).otherwise("document")
@@ -57,13 +74,13 @@ def flatten(parts: Column) -> tuple[Column, Column]:
         out = F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit(""))))
         for name, (mark, _) in PLACEHOLDERS.items():
             out = out.when(kind(p) == name, F.lit(mark))
-        return out
+        return F.struct((kind(p) == "text").alias("text"), out.alias("content"))
 
     def attachment(p, i):
         tokens = F.when(kind(p) == "image", PLACEHOLDERS["image"][1]).when(kind(p) == "audio", PLACEHOLDERS["audio"][1]).otherwise(PLACEHOLDERS["document"][1])
         return F.when(kind(p) != "text", F.struct(i.alias("part"), kind(p).alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], tokens).alias("tokens")))
 
-    return F.array_join(F.transform(parts, content), ""), F.filter(F.transform(parts, attachment), lambda a: a.isNotNull())
+    return F.transform(parts, content), F.filter(F.transform(parts, attachment), lambda a: a.isNotNull())
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
@@ -71,47 +88,59 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     formatted: every message as <|im_start|>role, a line feed, its content,
     <|im_end|>, a line feed.  loss_mask: message, start, length (characters
-    within the message's block) of each assistant content.  attachments: as
-    flatten() lists them, with their message; expanded_tokens: their sum.
+    within the message's block) of each text part of each assistant message,
+    placeholders left out; a message without text has one of length 0.
+    attachments: as flatten() lists them, with their message; expanded_tokens:
+    their sum.
 
     Messages are ordered by turn (null first), then role and content, so ties
-    and repeated rows have one order and all stay.  Null roles are empty; rows
-    without a conv_id are one conversation; an empty table gives no rows.  A
-    conversation is one value, so its messages meet in one task by definition.
+    and repeated rows have one order and all stay.  Null roles are empty; null
+    parts and texts are empty; rows without a conv_id are one conversation; an
+    empty table gives no rows; columns of other names are not read.  A
+    conversation is one value, so its messages, very long texts among them,
+    meet in one task by definition.
     """
-    content, attachments = flatten(F.col("parts"))
-    rows = messages.select("conv_id", "turn", _role(F.col("role")).alias("role"), content.alias("content"), attachments.alias("attached"))
+    pieces, attachments = flatten(F.col("parts"))
+    rows = messages.select("conv_id", "turn", _role(F.col("role")).alias("role"), pieces.alias("pieces"), attachments.alias("attached"))
     head = F.concat(F.lit(START), "role", F.lit("\n"))
-    rows = rows.select("conv_id", F.struct("turn", "role", "content", F.length(head).alias("start"), F.length("content").alias("length"), F.concat(head, "content", F.lit(END + "\n")).alias("block"), "attached").alias("m"))
+    lengths = F.transform("pieces", lambda p: F.length(p["content"]))
+    before = lambda i: F.aggregate(F.slice(lengths, 1, i), F.length(head), lambda s, n: s + n)
+    spans = F.filter(F.transform("pieces", lambda p, i: F.when(p["text"], F.struct(before(i).alias("start"), F.length(p["content"]).alias("length")))), lambda s: s.isNotNull())
+    spans = F.when(F.size(spans) > 0, spans).otherwise(F.array(F.struct(F.length(head).alias("start"), F.lit(0).alias("length"))))
+    content = F.array_join("pieces.content", "")
+    rows = rows.select("conv_id", F.struct("turn", "role", content.alias("content"), F.when(F.col("role") == "assistant", spans).alias("spans"), F.concat(head, content, F.lit(END + "\n")).alias("block"), "attached").alias("m"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    mask = F.filter(
-        F.transform("m", lambda m, i: F.when(m["role"] == "assistant", F.struct(i.alias("message"), m["start"].alias("start"), m["length"].alias("length")))),
-        lambda s: s.isNotNull(),
-    )
+    mask = F.flatten(F.filter(F.transform("m", lambda m, i: F.transform(m["spans"], lambda s: F.struct(i.alias("message"), s["start"].alias("start"), s["length"].alias("length")))), lambda s: s.isNotNull()))
     listed = F.flatten(F.transform("m", lambda m, i: F.transform(m["attached"], lambda a: F.struct(i.alias("message"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     chats = chats.select("conv_id", F.array_join(F.col("m.block"), "").alias("formatted"), mask.alias("loss_mask"), listed.alias("attachments"))
     return chats.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_text, read from format_chats()' formatted and loss_mask alone; text only, placeholders as they stand."""
+    """chats with turns (role, text) and loss_text, read from format_chats()' formatted and loss_mask alone.
+
+    A turn's text is that of its text parts, joined: a placeholder's control
+    string cannot stand in escaped text, so placeholders are told apart and left out.
+    """
     blocks = F.split("formatted", r"<\|im_end\|>\n")
-    rows = chats.select("conv_id", "formatted", "loss_mask", F.slice(blocks, 1, F.size(blocks) - 1).alias("blocks"))
+    rows = chats.withColumn("blocks", F.slice(blocks, 1, F.size(blocks) - 1))
 
     def turn(b):
         role = F.substring_index(F.substring(b, len(START) + 1, F.length(b)), "\n", 1)
         text = F.substring(b, F.length(role) + len(START) + 2, F.length(b))
+        for mark, _ in PLACEHOLDERS.values():
+            text = F.replace(text, F.lit(mark), F.lit(""))
         return F.struct(_role_back(role).alias("role"), unescape(text).alias("text"))
 
     loss = F.transform("loss_mask", lambda s: unescape(F.substring(F.get("blocks", s["message"]), s["start"] + 1, s["length"])))
-    return rows.select("conv_id", "formatted", F.transform("blocks", turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    return rows.withColumns({"turns": F.transform("blocks", turn), "loss_text": F.array_join(loss, "")}).drop("blocks")
 
 
 def op4_chat(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{END}{START}assistant ok"
     extra = spark.sql("SELECT -1L AS conv_id, inline(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role)))").withColumn("text", F.lit(said))
-    chats = read_back(format_chats(rows.unionByName(extra).withColumn("parts", text_parts(F.col("text")))))
+    chats = read_back(format_chats(rows.unionByName(extra).withColumn("parts", referring_parts(F.col("text")))))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",
@@ -120,6 +149,9 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.array_join("attachments.ref", "\n").alias("attachment_refs"),
+        "expanded_tokens",
     )
 
 
@@ -128,12 +160,20 @@ WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
 c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', text FROM said UNION ALL SELECT -1, 1, 'assistant', text FROM said
+), a AS (
+  SELECT *, regexp_extract_all(text, 'REFERENCE') AS refs FROM c
+), k AS (
+  SELECT *, len(refs) AS n_refs, len(list_filter(refs, lambda r: regexp_matches(r, 'IMAGE'))) AS images, len(list_filter(refs, lambda r: regexp_matches(r, 'AUDIO'))) AS audios FROM a
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
     coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text), '') AS turns,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(role) + 24) AS formatted_chars
-  FROM c GROUP BY conv_id
+    sum(length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(role) + 24 + 9 * (images + audios) + 12 * (n_refs - images - audios)) AS formatted_chars,
+    sum(n_refs) AS n_attachments,
+    coalesce(string_agg(array_to_string(refs, chr(10)), chr(10) ORDER BY turn NULLS FIRST, role, text) FILTER (n_refs > 0), '') AS attachment_refs,
+    sum(576 * images + 250 * audios + 1024 * (n_refs - images - audios)) AS expanded_tokens
+  FROM k GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
-"""
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+  CAST(n_attachments AS BIGINT) AS n_attachments, attachment_refs, CAST(expanded_tokens AS BIGINT) AS expanded_tokens FROM g
+""".replace("REFERENCE", REFERENCE).replace("IMAGE", ENDINGS["image"]).replace("AUDIO", ENDINGS["audio"])
