@@ -7,8 +7,14 @@ some part.  The thresholds are those of the least estimated cost, found by
 dynamic programming over the parts.  A fingerprint is dealt to the buckets of
 its part value with up to t_i zero bits set (two values within t_i bits meet in
 their union); members of a bucket are verified on all 64 bits.  A bucket emits
-a forest of its links, never its pairs, and buckets too large for one task are
-split along further bits of their members, which keeps every link.
+a spanning forest of its links, shortest first, never its pairs, and buckets too
+large for one task are split along further bits of their members, which keeps
+every link.
+
+near_groups() links texts by their fingerprints alone.  near_copies() takes
+such links as candidates for a similarity of word shingles, which it holds
+exactly: links of texts that are not alike at all go, and within each family
+that is left every pair of different texts is compared in blocks.
 """
 
 from __future__ import annotations
@@ -19,17 +25,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, table, written
+from .common import components, table, written
 
 #: Most fingerprints of a bucket that one call compares; larger buckets are split.
 BUCKET = 8192
 #: Estimated cost of dealing one row to a bucket and of comparing one pair.
-ROW_COST, PAIR_COST = 1.0, 0.01
+ROW_COST, PAIR_COST = 1.0, 0.002
 #: Shingles hashed at a time: bounds memory on very long texts.
 BLOCK = 1 << 16
+#: Of near copies: words of a shingle and least Jaccard similarity, as a fraction; words of a fingerprint's shingle and its radius.
+SHINGLE, ALIKE, PRINT, RADIUS = 5, (4, 5), 2, 8
+#: Texts that one task compares with each other, and their shingles; bits of the filter for texts that have candidates.
+FAMILY, FAMILY_SHINGLES, FILTER_BITS = 512, 1 << 21, 1 << 23
 _SIGN = 1 << 63
 
 
+def _hashes(data: bytes, size: int, seed: int):
+    """XXH64 of a text's shingles, in arrays of at most BLOCK; words and short texts as in fingerprint()."""
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    words = data.translate(lower).split()
+    if not words:
+        return
+    text = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(len(words) - size + 1, 1)].tolist()
+    stops = ends[min(size, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(starts), BLOCK):
+        yield np.array([digest(text[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], np.uint64)
+
+
+def shingles(data: bytes, size: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """Distinct XXH64 of a UTF-8 text's shingles, ascending; none without words."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(data, size, seed)]))
+
+
 def fingerprint(data: bytes, size: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of a UTF-8 text.
 
@@ -38,36 +68,25 @@ def fingerprint(data: bytes, size: int = 3, seed: int = 42) -> int:
     sequence where there are fewer words).  Bit b is set if more than half of
     the shingles' XXH64 have it.  No words: 0.
     """
-    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    words = data.translate(lower).split()
-    if not words:
-        return 0
-    text = b" ".join(words)
-    if len(words) <= size:
-        return xxhash.xxh64_intdigest(text, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    stops = ends[size - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), BLOCK):
-        hashes = np.array([digest(text[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], np.uint64)
+    n, total = 0, np.zeros(64, np.int64)
+    for hashes in _hashes(data, size, seed):
+        n += len(hashes)
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches):
-    for b in batches:
-        found = [fingerprint(t or b"") for t in b.column(2).to_pylist()]
-        found = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["doc_id", "text_hash", "fp"])
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, text_hash, fp (the fingerprint's bits as a signed long) of every row; a null text is empty."""
 
+    def run(batches):
+        for b in batches:
+            found = [fingerprint(t.as_py() or b"", size) for t in b.column(2)]
+            found = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["doc_id", "text_hash", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp (the fingerprint's bits as a signed long) of every row; a null text is empty."""
-    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _cooccurrence(batches):
@@ -163,17 +182,17 @@ def _deal(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*dealt)).alias("k")).select("k.mask", "k.value", "fp")
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """The rows of large buckets in four smaller ones each: links within 3 bits agree on one of four groups of the bits left."""
+def _split(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows of large buckets in radius + 1 smaller ones each: links within the radius agree on one of so many groups of the bits left."""
 
     def split(batches):
         for b in batches:
             mask, value, fp = (x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in b.columns)
             out = [np.zeros((0, 3), np.uint64)]
-            for m in np.unique(mask):  # one a part at first, four times as many at each further split
+            for m in np.unique(mask):  # one a part at first, radius + 1 times as many at each further split
                 v, f = value[mask == m], fp[mask == m]
                 left = [bit for bit in range(64) if not int(m) >> bit & 1]
-                for sub in (np.uint64(sum(1 << bit for bit in left[k::4])) for k in range(4)):
+                for sub in (np.uint64(sum(1 << bit for bit in left[k :: radius + 1])) for k in range(radius + 1)):
                     if sub:
                         out.append(np.column_stack([np.full(len(f), m | sub), v | (f & sub), f]))
             out = np.concatenate(out)
@@ -182,39 +201,55 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.select("mask", "value", "fp").mapInArrow(split, "mask long, value long, fp long").distinct()
 
 
-def _forest(radius: int):
-    """Links of each bucket's members as a forest found by breadth-first search."""
+def forest(v: np.ndarray, radius: int, hubs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within `radius` bits of distinct fingerprints, shortest links first (Prim's), as (ends, other ends).
 
+    hubs: besides, of each tree the links of the member that has most.
+    """
+    degree = np.concatenate([np.zeros(0, np.int64), *((np.bitwise_count(v[i : i + 256, None] ^ v) <= radius).sum(1) - 1 for i in range(0, len(v), 256))])
+    v, degree = v[degree > 0], degree[degree > 0]
+    a, b, n = [], [], len(v)
+    far, source, tree, out = np.full(n, 65, np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    number = -1
+    for _ in range(n):
+        at = int(np.where(out, 66, far).argmin())
+        if far[at] > radius:  # no link leads further: the next tree
+            number += 1
+        else:
+            a.append(v[at])
+            b.append(v[source[at]])
+        out[at], tree[at] = True, number
+        d = np.bitwise_count(v ^ v[at])
+        closer = ~out & (d < far) & (d <= radius)
+        far[closer], source[closer] = d[closer], at
+    for k in range(number + 1) if hubs else ():
+        members = np.flatnonzero(tree == k)
+        hub = v[members[degree[members].argmax()]]
+        d = np.bitwise_count(v[members] ^ hub)
+        near = v[members[(d <= radius) & (d > 0)]]
+        a.extend(near)
+        b.extend([hub] * len(near))
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
+def _forests(radius: int, hubs: bool):
     def run(batches):
-        for b in batches:
-            a_out, b_out = [], []
-            for members in b.column(0):
-                v = np.unique(members.values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                while len(v) > 1:
-                    root, queue, v = int(v[0]), [v[0]], v[1:]
-                    while queue and len(v):
-                        near = np.bitwise_count(v ^ queue.pop()) <= radius
-                        if near.any():
-                            found, v = v[near], v[~near]
-                            queue.extend(found)
-                            a_out.append(found)
-                            b_out.append(np.full(len(found), root, np.uint64))
-            a = np.concatenate(a_out) if a_out else np.zeros(0, np.uint64)
-            z = np.concatenate(b_out) if b_out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(z.view(np.int64))], ["a", "b"])
+        for batch in batches:
+            found = [forest(np.unique(m.values.to_numpy(zero_copy_only=False)).view(np.uint64), radius, hubs) for m in batch.column(0)]
+            ends = [np.concatenate([np.zeros(0, np.uint64), *side]) for side in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], ["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints (column fp) whose components are those of all links within `radius` bits.
+def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, hubs: bool = False) -> DataFrame:
+    """Edges (a, b) of distinct fingerprints (column fp), links within `radius` bits whose components are those of all such links.
 
     Pairs within a bucket are compared exactly; a bucket of over `bucket`
-    members goes to smaller ones before it is gathered, until fewer than four
-    bits are left, when no bucket can hold more than a few hundred.
+    members goes to smaller ones before it is gathered, until no more than
+    `radius` bits are left, when no bucket can hold more than a few hundred.
+    hubs: with further links, as forest() has them.
     """
-    if radius > 3:
-        raise ValueError("large buckets are split four ways, which keeps links of up to 3 bits")
     n = fps.count()
     counts = fps.mapInArrow(_cooccurrence, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).collect()
     both = np.zeros((64, 64))
@@ -223,14 +258,14 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     rows, edges = _deal(fps, allocate(both, n, radius)), []
     while True:
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-        large = written(sizes.filter((F.col("n") > bucket) & (F.bit_count(F.col("mask")) <= 60)), "simhash-large")
+        large = written(sizes.filter((F.col("n") > bucket) & (F.bit_count(F.col("mask")) < 64 - radius)), "simhash-large")
         hot = not large.isEmpty()
         small = rows.join(large, ["mask", "value"], "left_anti") if hot else rows
         gathered = small.groupBy("mask", "value").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1).select("members")
-        edges.append(written(gathered.mapInArrow(_forest(radius), "a long, b long").distinct(), "simhash-links"))
+        edges.append(written(gathered.mapInArrow(_forests(radius, hubs), "a long, b long").distinct(), "simhash-links"))
         if not hot:
             break
-        rows = written(_split(rows.join(large, ["mask", "value"], "left_semi")), "simhash-split")
+        rows = written(_split(rows.join(large, ["mask", "value"], "left_semi"), radius), "simhash-split")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -242,31 +277,154 @@ def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     component_id is the smallest doc_id of the rows reachable over links of at
     most `radius` bits; equal fingerprints are linked.  A null text is empty
-    (fingerprint 0, linked like any other).  Rows without a doc_id are linked
-    but never name a component (null where no row of it has one).  Repeated
-    rows each get a row; an empty table gives none.
+    (fingerprint 0, linked like any other); very long texts are hashed whole,
+    BLOCK shingles at a time.  Rows without a doc_id are linked but never name
+    a component (null where no row of it has one).  Repeated rows each get a
+    row; other columns are not read; an empty table gives no rows.
     """
     rows = written(fingerprints(docs), "simhash-rows")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = written(components(links(fps.select("fp"), radius), "simhash-components"), "simhash-roots")
-    tied = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return _named(rows, fps, "fp", links(fps.select("fp"), radius)).select("doc_id", "text_hash", "fp", "component_id")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """rows with component_id: the smallest doc_id (low of nodes) of the rows whose keys the edges connect."""
+    roots = written(components(edges, "simhash-components"), "simhash-roots")
+    tied = nodes.join(roots, F.col(key) == F.col("node"), "left").select(key, "low", F.coalesce("root", key).alias("root"))
     least = tied.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(tied.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return rows.join(written(tied.join(least, "root").select(key, "component_id"), "simhash-named"), key)
+
+
+def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text_hash and all shingles g of the texts in wanted(text_hash, doc_id: of one row that has it).
+
+    Texts are not shuffled: a filter of FILTER_BITS bits, sent to all, picks
+    rows on the executors, and a join drops those that it lets through wrongly.
+    """
+    of = wanted.select(F.xxhash64("doc_id", "text_hash").alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    bit = F.pmod("key", F.lit(FILTER_BITS))
+    words = of.select((bit / 64).cast("int").alias("at"), F.pmod(bit, F.lit(64)).cast("int").alias("bit")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).toArrow()
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held[words["at"].to_numpy()] = words["word"].to_numpy()
+    held = held.view(np.uint8)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS
+            b = b.filter(pa.array((held[at >> 3] >> (at & 7) & 1).astype(bool)))
+            sets = [shingles(t.as_py() or b"").view(np.int64) for t in b.column(3)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["key", "_i", "_h", "g"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("data"))
+    texts = texts.select(F.xxhash64("_i", "_h").alias("key"), "_i", "_h", "data").mapInArrow(run, f"key long, _i {kind}, _h long, g array<long>")
+    found = texts.join(of, (texts["key"] == of["key"]) & F.col("_i").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")))
+    return written(found.select(F.col("_h").alias("text_hash"), "g").dropDuplicates(["text_hash"]), "simhash-whole")
+
+
+def alike_pairs(key: np.ndarray, first: np.ndarray, second: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of a text of `first` and one of `second` (masks) that are at least ALIKE.
+
+    sizes, flat: each text's number of shingles and all of them, end to end.
+    Common shingles are counted by products of incidence matrices, column block
+    by column block; shingles of one text alone cannot be common.
+    """
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    own = np.repeat(np.arange(len(key)), sizes)
+    own, column = own[count[column] > 1], rank[column[count[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    one, two = np.flatnonzero(first), np.flatnonzero(second)
+    common = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        block = np.zeros((len(key), 4096), np.float32)
+        block[own[lo:hi], column[lo:hi] - at] = 1
+        common += block[one] @ block[two].T
+    alike = common * (ALIKE[0] + ALIKE[1]) >= (sizes[one][:, None] + sizes[two]) * ALIKE[0]
+    joined = np.zeros((len(key), len(key)), bool)
+    joined[np.ix_(one, two)] = alike
+    joined |= joined.T
+    a, b, left = [], [], np.ones(len(key), bool)
+    for root in range(len(key)):
+        reached = [root] if left[root] else []
+        left[root] = False
+        while reached:
+            at = reached.pop()
+            found = np.flatnonzero(joined[at] & left)
+            left[found] = False
+            reached.extend(found)
+            a.extend([key[at]] * len(found))
+            b.extend(key[found])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _compare(members: pa.Table) -> pa.Table:
+    """The alike pairs, as a forest, of one pair of blocks of a family."""
+    g, side = members["g"].combine_chunks(), members["side"].to_numpy()
+    first, second = side == members["one"].to_numpy(), side == members["two"].to_numpy()
+    a, b = alike_pairs(members["text_hash"].to_numpy(), first, second, g.value_lengths().to_numpy(), g.flatten().to_numpy())
+    return pa.table({"a": a, "b": b})
+
+
+def _loose(whole: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts that share at least half of their shingles."""
+    one, two = whole.select(F.col("text_hash").alias("a"), F.col("g").alias("g1")), whole.select(F.col("text_hash").alias("b"), F.col("g").alias("g2"))
+    fit = F.size(F.array_intersect("g1", "g2")) * 3 >= F.size("g1") + F.size("g2")
+    return written(pairs.join(one, "a").join(two, "b").filter(fit).select("a", "b"), "simhash-loose")
+
+
+def near_copies(docs: DataFrame, size: int = PRINT, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash, fp, component_id of every row of docs(doc_id, text, ...): near copies by the similarity of word shingles.
+
+    Two texts are linked if their sets of SHINGLE-word shingles are at least
+    ALIKE and fingerprints of their `size`-word shingles connect them, over
+    links of at most `radius` bits between texts that share half of their
+    shingles or more.  Within such a family every pair of different texts is
+    compared, in blocks of FAMILY texts, so only texts whose fingerprints lie
+    too far apart can be missed.  Odd rows as in near_groups(); texts of fewer
+    words than a shingle are one; texts without words are alike.
+    """
+    rows = written(fingerprints(docs, size), "simhash-rows")
+    texts = written(rows.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low")), "simhash-texts")
+    fps = written(texts.groupBy("fp").agg(F.min("text_hash").alias("first")), "simhash-distinct")
+    edges = written(links(fps.select("fp"), radius, hubs=True), "simhash-near")
+    ends = (fps.select(F.col("fp").alias(c), F.col("first").alias(f"{c}1")) for c in "ab")
+    between = edges.join(next(ends), "a").join(next(ends), "b").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
+    equal = texts.join(fps, "fp").filter("text_hash != first").select(F.col("first").alias("a"), F.col("text_hash").alias("b"))
+    pairs = written(between.union(equal).distinct(), "simhash-pairs")
+    wanted = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct(), "text_hash").select("text_hash", F.col("low").alias("doc_id")), "simhash-wanted")
+    whole = _whole(docs, wanted)
+    family = components(_loose(whole, pairs), "simhash-families").select(F.col("node").alias("text_hash"), F.col("root").alias("family"))
+    member = written(whole.join(family, "text_hash"), "simhash-members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum(F.size("g")) / FAMILY_SHINGLES)).cast("int")
+    member = member.join(member.groupBy("family").agg(blocks.alias("blocks")), "family").withColumn("side", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("family", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "text_hash", "g")
+    alike = written(member.groupBy("family", "one", "two").applyInArrow(_compare, "a long, b long"), "simhash-alike")
+    return _named(rows, texts.drop("fp"), "text_hash", alike).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One row of docs for each group of near_groups, as one_of_each() takes it."""
-    return one_of_each(docs, near_groups(docs, radius))
+    """One row of docs for each group of near_groups(), as one_of_each() takes it."""
+    return one_of_each(docs, near_groups(docs, radius), "fp")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near_copies(), as one_of_each() takes it."""
+    return one_of_each(docs, near_copies(docs), "text_hash")
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of docs for each group: that with the smallest doc_id (then text hash; rows without a doc_id last).
+def one_of_each(docs: DataFrame, groups: DataFrame, same: str) -> DataFrame:
+    """One row of docs, with all its columns, for each group: that with the smallest doc_id (then text hash; rows without a doc_id last).
 
-    Where no row of a group has a doc_id, one row of each fingerprint stays.
+    Where no row of a group has a doc_id, one row of each value of the column
+    `same` of groups stays.  Repeated rows are one.
     """
     found = written(groups, "simhash-groups")
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    alone = F.when(F.col("component_id").isNull(), F.col(same))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     keep = found.groupBy("component_id", alone.alias("alone")).agg(best.alias("k"))
     keep = written(keep.select(F.xxhash64("k.doc_id", "k.text_hash").alias("_k"), F.col("k.doc_id").alias("_i"), F.col("k.text_hash").alias("_h")), "simhash-kept")

@@ -1,9 +1,11 @@
-"""Near copies by exact similarity against brute force over all pairs."""
+"""Near copies by similarity against brute force over all pairs."""
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
-from tarnwick.llm import neardup
+from tarnwick.llm import simhash
 from tests.llm.test_documents import frame, odd_rows
 
 SCHEMA = "doc_id long, text string"
@@ -57,32 +59,84 @@ def near_rows():
     return list(enumerate(rows))
 
 
-def test_stage_finds_every_near_copy(spark):
-    rows = near_rows()
-    stage = dict(pipeline.STAGES)["SimHash near-dedup"]
-    got = stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), None)
-    assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
+def brute_links(rows):
+    sets = [brute_set(t) for _, t in rows]
+    return {(j, i) for i, one in enumerate(sets) for j, two in enumerate(sets[:i]) if one == two or 5 * len(one & two) >= 4 * len(one | two)}
+
 
+def grouped(rows, groups):
+    """The pairs of positions that a result puts into one group."""
+    group = {r["doc_id"]: r["component_id"] for r in groups.collect()}
+    return group, {(j, i) for i, (d, _) in enumerate(rows) for j, (e, _) in enumerate(rows[:i]) if group[d] == group[e]}
 
-def test_stage_merges_near_copies_that_fingerprints_part(spark):
-    """Documents 6 and 145, 1 and 177 of sf0.001 are alike, 7 and 11 bits apart."""
+
+def closure(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    return {(j, i) for i in range(n) for j in range(i) if find(i) == find(j)}
+
+
+def test_near_copies_are_found_and_nothing_else(spark):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    group, got = grouped(rows, simhash.near_copies(docs))
+    links = brute_links(rows)
+    assert got <= closure(len(rows), links)
+    # Short texts of few shingles may lie far apart in fingerprints.
+    assert len(links & got) / len(links) > 0.9
+    long = {(j, i) for j, i in links if min(len(rows[i][1].split()), len(rows[j][1].split())) > 100}
+    assert len(long & got) / len(long) > 0.97
+    kept = dict(pipeline.STAGES)["SimHash near-dedup"](spark, docs, None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
+
+
+def test_near_copies_of_the_given_documents(spark):
+    """Documents 6 and 145, 1 and 177 of sf0.001 are alike, 7 and 11 bits apart by three-word shingles."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect())
+    got = sorted(r["doc_id"] for r in simhash.without_copies(docs).collect())
     assert got == brute_kept(rows) and not {145, 177} & set(got)
 
 
-def test_order_does_not_decide_links(spark, monkeypatch):
-    rows = near_rows()
-    monkeypatch.setattr(neardup, "OFTEN", 1 << 40)  # no shingle comes last
-    got = neardup.deduplicated(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
+def test_a_family_is_compared_whole_in_blocks(spark, monkeypatch):
+    """One large family, most of whose texts are alike to few others: no link of it is lost, whatever the blocks."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(i, edited(rng, words, rng.choice([0, 1, 2, 4, 8, 16]))) for i in range(150)]
+    docs, want = spark.createDataFrame(rows, SCHEMA), None
+    for family in (512, 40):
+        monkeypatch.setattr(simhash, "FAMILY", family)
+        _, got = grouped(rows, simhash.near_copies(docs))
+        want = want or closure(len(rows), {(j, i) for j, i in brute_links(rows)})
+        assert got <= want and len(got) > 0.99 * len(want)
+
+
+def test_alike_pairs_of_masks():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 12))
+        base = rng.integers(0, 40, 20)
+        sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(0, 20))), rng.integers(100, 110, int(rng.integers(0, 3)))])) for _ in range(n)]
+        side = rng.integers(0, 2, n)
+        sizes, flat = np.array([len(x) for x in sets]), np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
+        for first, second in ((side == 0, side == 1), (side == 0, side == 0)):
+            a, b = simhash.alike_pairs(np.arange(n), first, second, sizes, flat)
+            pairs = {(i, j) for i in np.flatnonzero(first) for j in np.flatnonzero(second) if i != j and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+            assert set(zip(a.tolist(), b.tolist())) <= pairs | {(j, i) for i, j in pairs}
+            assert closure(n, zip(a.tolist(), b.tolist())) == closure(n, pairs)
 
 
 def test_odd_rows_and_empty_table(spark):
     docs = frame(spark, odd_rows())
-    got = neardup.deduplicated(docs)
+    got = simhash.without_copies(docs)
     rows = got.collect()
     assert got.columns == docs.columns and len({r["doc_id"] for r in rows}) == len(rows)
-    assert {r["doc_id"] for r in rows} >= {100, 103, 105, 106, None} and not {r["doc_id"] for r in rows} & {101, 102, 104}
-    assert neardup.deduplicated(docs.limit(0)).count() == 0
+    assert {r["doc_id"] for r in rows} >= {100, 103, 105, 106} and not {r["doc_id"] for r in rows} & {101, 102, 104}
+    assert simhash.without_copies(docs.limit(0)).count() == 0

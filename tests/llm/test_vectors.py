@@ -61,9 +61,38 @@ def test_maxscore_equals_a_full_scan():
         ids = rng.permutation(300)
         scores = x @ q
         floor = int(np.sort(scores)[-rng.integers(5, 60)])
-        at, got = topk.maxscore(q, x, np.minimum(x.min(0), 0), np.maximum(x.max(0), 0), ids, 5, floor)
+        at, got, probed = topk.maxscore(q, topk.Shard(x, ids), 5, floor)
         want = np.lexsort((ids, -scores))[:5]
+        assert (at == want).all() and (got == scores[want]).all() and 5 <= probed <= 300
+
+
+def test_sparse_postings_and_probed_rows():
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 30, (4000, 40)) * (rng.random((4000, 40)) < 0.1)
+    ids, share = np.arange(4000), []
+    for _ in range(50):
+        q = rng.integers(0, 20, 40) ** 2
+        scores = x @ q
+        at, got, probed = topk.maxscore(q, topk.Shard(x, ids), 20, int(np.sort(scores)[-200]))
+        want = np.lexsort((ids, -scores))[:20]
         assert (at == want).all() and (got == scores[want]).all()
+        share.append(probed / 4000)
+    assert np.mean(share) < 0.5
+
+
+def test_scores_beyond_doubles(spark):
+    """Neighbouring scores near 2^56, and components that no long holds."""
+    big = 1 << 28
+    rows = [(i, [big + i, big - 1, 3 + i % 2]) for i in range(120)] + [(1000, [big, big, 1])]
+    df = spark.createDataFrame(rows, "id long, vec array<long>")
+    got = grouped(topk.search(df, df.filter("id % 20 = 0")))
+    for q in (r for r in rows if r[0] % 20 == 0):
+        want = sorted(((sum(a * b for a, b in zip(q[1], v)), i) for i, v in rows if i != q[0]), key=lambda s: (-s[0], s[1]))[:20]
+        assert got[q[0]] == want and want[0][0] > 2**55
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 1])], "id long, vec array<long>"), df)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.quantised(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_approximate_search_of_odd_vectors(spark):
@@ -98,6 +127,19 @@ def test_recall_on_the_given_vectors(spark):
     assert hits / total >= 0.95
 
 
+def test_op3_query(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    got, hits, total = grouped(ann.op3_ann(spark, "/root/testdata/sf0.001")), 0, 0
+    assert got.keys() == {int(i) for i in ids if i % 20 == 0}
+    for q, found in got.items():
+        scores = x @ x[np.flatnonzero(ids == q)[0]]
+        scores[ids == q] = -np.inf
+        floor = np.sort(scores)[-20]
+        hits, total = hits + sum(s >= floor - 1e-12 for s, _ in found), total + 20
+    assert hits / total >= 0.9
+
+
 @pytest.mark.parametrize("clusters", [4, 400])
 def test_the_scan_drops_few_true_neighbours(clusters):
     rng = np.random.default_rng(clusters)
