@@ -25,7 +25,7 @@ sql_query("f_casts", "SELECT p_partkey, CAST(p_size AS STRING) AS s, CAST(CAST(p
 sql_query("f_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql_query("f_variant", "SELECT event_id, variant_get(parse_json(props), '$.k', 'bigint') AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql_query("f_array_fold", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE)), 0D, (s, x) -> s + x * x), 6) AS norm FROM {embeddings}", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm FROM embeddings")
-sql_query("f_explode", "SELECT label, i, count(*) AS n FROM {embeddings} LATERAL VIEW posexplode(slice(embedding, 1, 4)) t AS i, v WHERE v > 0 GROUP BY label, i", "SELECT label, CAST(i AS INT) AS i, count(*) AS n FROM (SELECT label, unnest(embedding[1:4]) AS v, unnest([0, 1, 2, 3]) AS i FROM embeddings) WHERE v > 0 GROUP BY label, i")
+sql_query("f_explode", "SELECT label, i, count(*) AS n FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS i, v WHERE v > 0 GROUP BY label, i", "SELECT label, CAST(i AS INT) AS i, count(*) AS n FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) WHERE v > 0 GROUP BY label, i")
 sql_query("f_hash", "SELECT doc_id, sha2(text, 256) AS h FROM {documents}", "SELECT doc_id, sha256(text) AS h FROM documents")
 sql_query("f_strings_more", "SELECT c_custkey, CAST(instr(c_name, '#') AS BIGINT) AS i, repeat(c_mktsegment, 2) AS r, left(c_name, 3) AS l, right(c_name, 3) AS e, rpad(c_mktsegment, 12, '.') AS p, translate(c_name, '012', 'abc') AS t, concat_ws('-', c_name, nullif(c_mktsegment, 'BUILDING')) AS w, CAST(levenshtein(c_name, c_mktsegment) AS BIGINT) AS d, ascii(c_name) AS a FROM {customer}")
 sql_query("f_string_tests", "SELECT p_partkey, startswith(p_name, 's') AS s, endswith(p_name, 'g') AS e, contains(p_name, 'ol') AS c, p_type ILIKE 'small%' AS i FROM {part}", "SELECT p_partkey, starts_with(p_name, 's') AS s, ends_with(p_name, 'g') AS e, contains(p_name, 'ol') AS c, p_type ILIKE 'small%' AS i FROM part")
@@ -34,8 +34,8 @@ sql_query("f_bits", "SELECT p_partkey, p_size & 6 AS a, p_size | 6 AS o, p_size
 sql_query("f_dates_more", "SELECT o_orderkey, last_day(o_orderdate) AS l, date_format(o_orderdate, 'yyyy-MM') AS f, CAST(dayofyear(o_orderdate) AS BIGINT) AS y, CAST(weekofyear(o_orderdate) AS BIGINT) AS w, add_months(o_orderdate, 1) AS a, make_date(year(o_orderdate), 1, 1) AS j, CAST(dayofweek(o_orderdate) AS BIGINT) AS d FROM {orders}", "SELECT o_orderkey, last_day(o_orderdate) AS l, strftime(o_orderdate, '%Y-%m') AS f, dayofyear(o_orderdate) AS y, weekofyear(o_orderdate) AS w, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS a, make_date(year(o_orderdate), 1, 1) AS j, dayofweek(o_orderdate) + 1 AS d FROM orders")
 sql_query("f_date_parsing", "SELECT o_orderkey, to_date(date_format(o_orderdate, 'dd/MM/yyyy'), 'dd/MM/yyyy') AS d, try_cast(concat(o_orderstatus, '1') AS DATE) AS none FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, try_cast(concat(o_orderstatus, '1') AS DATE) AS none FROM orders")
 sql_query("f_math_more", "SELECT p_partkey, round(pow(p_size, 1.5D), 4) AS p, round(exp(p_size / 50.0D), 6) AS e, round(log10(p_retailprice), 6) AS l, round(cbrt(p_retailprice), 6) AS c, round(sin(p_size), 6) AS s, round(atan2(p_size, 3), 6) AS a, round(degrees(p_size / 10.0D), 4) AS g FROM {part}", "SELECT p_partkey, round(pow(p_size, 1.5), 4) AS p, round(exp(CAST(p_size AS DOUBLE) / 50.0), 6) AS e, round(log10(p_retailprice), 6) AS l, round(cbrt(p_retailprice), 6) AS c, round(sin(p_size), 6) AS s, round(atan2(p_size, 3), 6) AS a, round(degrees(CAST(p_size AS DOUBLE) / 10.0), 4) AS g FROM part")
-sql_query("f_arrays", "SELECT vec_id, size(filter(embedding, x -> x > 0)) AS pos, exists(embedding, x -> x > 0.4) AS big, forall(embedding, x -> abs(x) <= 1) AS unit, round(CAST(array_max(embedding) AS DOUBLE), 6) AS hi, array_contains(transform(slice(embedding, 1, 8), x -> x < 0), true) AS neg FROM {embeddings}", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS pos, len(list_filter(embedding, lambda x: x > 0.4)) > 0 AS big, len(list_filter(embedding, lambda x: abs(x) > 1)) = 0 AS unit, round(CAST(list_max(embedding) AS DOUBLE), 6) AS hi, list_contains(list_transform(embedding[1:8], lambda x: x < 0), true) AS neg FROM embeddings")
-sql_query("f_array_sets", "SELECT doc_id, size(array_distinct(w)) AS d, array_join(sort_array(array_distinct(slice(w, 1, 5))), ' ') AS s, size(array_intersect(w, array('the', 'der', 'la'))) AS i, size(array_except(array('the', 'der', 'la'), w)) AS x FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents}) t", "SELECT doc_id, CAST(len(list_distinct(w)) AS INT) AS d, array_to_string(list_sort(list_distinct(w[1:5])), ' ') AS s, CAST(len(list_intersect(list_distinct(w), ['the', 'der', 'la'])) AS INT) AS i, CAST(3 - len(list_intersect(['the', 'der', 'la'], w)) AS INT) AS x FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t")
+sql_query("f_arrays", "SELECT vec_id, size(filter(embedding, x -> x > 0)) AS pos, exists(embedding, x -> x > 0.4) AS big, forall(embedding, x -> abs(x) <= 1) AS unit, round(CAST(array_max(embedding) AS DOUBLE), 6) AS hi, array_contains(transform(embedding, x -> x < -0.3), true) AS neg FROM {embeddings}", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS pos, len(list_filter(embedding, lambda x: x > 0.4)) > 0 AS big, len(list_filter(embedding, lambda x: abs(x) > 1)) = 0 AS unit, round(CAST(list_max(embedding) AS DOUBLE), 6) AS hi, list_contains(list_transform(embedding, lambda x: x < -0.3), true) AS neg FROM embeddings")
+sql_query("f_array_sets", "SELECT doc_id, size(array_distinct(w)) AS d, md5(array_join(sort_array(array_distinct(w)), ' ')) AS s, size(array_intersect(w, array('the', 'der', 'la'))) AS i, size(array_except(array('the', 'der', 'la'), w)) AS x FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents}) t", "SELECT doc_id, CAST(len(list_distinct(w)) AS INT) AS d, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS s, CAST(len(list_intersect(list_distinct(w), ['the', 'der', 'la'])) AS INT) AS i, CAST(3 - len(list_intersect(['the', 'der', 'la'], w)) AS INT) AS x FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t")
 sql_query("f_maps", "SELECT n_nationkey, element_at(m, 'a') AS a, try_element_at(m, 'zz') AS none, size(map_filter(m, (k, v) -> v > 10)) AS big, array_join(map_keys(m), ',') AS k FROM (SELECT n_nationkey, map('a', n_nationkey, 'b', n_regionkey * 6) AS m FROM {nation}) t", "SELECT n_nationkey, n_nationkey AS a, CAST(NULL AS INT) AS none, CAST(n_nationkey > 10 AS INT) + CAST(n_regionkey * 6 > 10 AS INT) AS big, 'a,b' AS k FROM nation")
 sql_query("f_structs", "SELECT c_custkey, t.s.name AS name, t.s.more.balance AS balance FROM (SELECT c_custkey, named_struct('name', c_name, 'more', named_struct('balance', c_acctbal)) AS s FROM {customer}) t", "SELECT c_custkey, c_name AS name, c_acctbal AS balance FROM customer")
 sql_query("f_json_schema", "SELECT event_id, from_json(props, 'k BIGINT, absent STRING').k AS k, from_json(props, 'k BIGINT, absent STRING').absent AS absent, to_json(named_struct('id', event_id, 'type', event_type)) AS j FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent, CAST(json_object('id', event_id, 'type', event_type) AS VARCHAR) AS j FROM events")
@@ -50,9 +50,19 @@ def discounted(price: pd.Series, discount: pd.Series) -> pd.Series:
 
 
 @pandas_udf(DoubleType())
-def spread(v: pd.Series) -> float:
-    """An aggregate: the range of the values."""
-    return float(v.max() - v.min())
+def lowest(v: pd.Series) -> float:
+    """An aggregate of a group that fits a batch."""
+    return float(v.min())
+
+
+@pandas_udf(DoubleType())
+def highest(v: pd.Series) -> float:
+    return float(v.max())
+
+
+def _part(key: str):
+    """A part of a group, of about as many rows however large the group is, if keys are dense."""
+    return F.floor(F.col(key) / 1000).alias("part")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS d FROM lineitem")
@@ -62,15 +72,21 @@ def u_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 4) AS s FROM customer GROUP BY c_nationkey")
 def u_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(spread("c_acctbal"), 4).alias("s"))
+    """Python aggregates parts of bounded size; built-in functions merge them."""
+    parts = table(spark, sf_dir, "customer").groupBy("c_nationkey", _part("c_custkey")).agg(lowest("c_acctbal").alias("low"), highest("c_acctbal").alias("high"))
+    return parts.groupBy("c_nationkey").agg(F.round(F.max("high") - F.min("low"), 4).alias("s"))
 
 
 @query("SELECT s_nationkey, s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS d FROM supplier")
 def u_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean comes from built-in functions; Python sees parts of bounded size, and no column that it does not need."""
+
     def centred(g: pd.DataFrame) -> pd.DataFrame:
-        return g[["s_nationkey", "s_suppkey"]].assign(d=(g["s_acctbal"] - g["s_acctbal"].mean()).round(4))
+        return g[["s_nationkey", "s_suppkey"]].assign(d=(g["s_acctbal"] - g["mean"]).round(4))
 
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").applyInPandas(centred, "s_nationkey int, s_suppkey long, d double")
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    rows = s.join(s.groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("mean")), "s_nationkey")
+    return rows.groupBy("s_nationkey", _part("s_suppkey")).applyInPandas(centred, "s_nationkey int, s_suppkey long, d double")
 
 
 @query("SELECT p_partkey, p_size * 2 AS twice FROM part WHERE p_size > 10")
@@ -91,8 +107,7 @@ def u_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield (i,)
 
     spark.udtf.register("tarnwick_numbers", F.udtf(Numbers, returnType="i int"))
-    table(spark, sf_dir, "nation").createOrReplaceTempView("tarnwick_nation")
-    return spark.sql("SELECT n_nationkey, i FROM tarnwick_nation, LATERAL tarnwick_numbers(n_nationkey)")
+    return spark.sql("SELECT n_nationkey, i FROM {nation}, LATERAL tarnwick_numbers(n_nationkey)", nation=table(spark, sf_dir, "nation"))
 
 
 @F.udf(returnType=StringType(), useArrow=True)
@@ -133,11 +148,12 @@ def u_map_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(c.k, s.k) AS k, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k")
 def u_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables' groups of a key side by side; only the key crosses the shuffle."""
+    """Parts of two tables' groups of a key side by side, of bounded size; only the keys cross the shuffle."""
 
     def sizes(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": [key[0]], "customers": [len(a)], "suppliers": [len(b)]})
 
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).groupBy("k")
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).groupBy("k")
-    return a.cogroup(b).applyInPandas(sizes, "k int, customers long, suppliers long")
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), _part("c_custkey")).groupBy("k", "part")
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), _part("s_suppkey")).groupBy("k", "part")
+    parts = a.cogroup(b).applyInPandas(sizes, "k int, customers long, suppliers long")
+    return parts.groupBy("k").agg(F.sum("customers").alias("customers"), F.sum("suppliers").alias("suppliers"))

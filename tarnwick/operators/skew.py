@@ -17,8 +17,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     Hot: more than `least` rows and more than one MAX_HOT-th of all; only their
     rows in right are repeated, once for each salt.  Their list is the one
     broadcast, of fewer than MAX_HOT rows however large left is.  Null keys
-    match nothing and are spread likewise.  Columns of the same name other than
-    `on` are not allowed.
+    match nothing and are spread likewise.  A row's salt is a hash of the whole
+    row, so it is the same where a lost task is run again; rows equal in all
+    columns share one.  Columns of the same name other than `on` are not
+    allowed, nor maps in left.
     """
     if how not in ("inner", "left"):
         raise ValueError("inner or left: right's rows are repeated")
@@ -26,7 +28,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     counts = left.filter(~null).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     floor = max(least, left.count() // MAX_HOT)
     hot = F.broadcast(counts.filter(F.col("_n") > floor).select(*on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     l = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot") | null, spread).otherwise(0)).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     r = right.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
@@ -54,6 +56,30 @@ def block_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
     return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
 
 
+def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, which are counted first; beyond that as it is, for Spark to choose."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def exact_median(df: DataFrame, by: str, value: str, width: float) -> DataFrame:
+    """by, median: the exact median (of an even number, the middle two's mean) of value in each group; null values and keys take no part.
+
+    Values are counted in buckets of `width`, pre-aggregated before the
+    shuffle; only the buckets that hold the middle are ranked, so no task sorts
+    or holds a group.
+    """
+    from pyspark.sql.window import Window
+
+    rows = df.select(by, F.col(value).alias("v")).filter("v IS NOT NULL").withColumn("bucket", F.floor(F.col("v") / width))
+    counts = rows.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    all_before = F.sum("n").over(Window.partitionBy(by).orderBy("bucket")) - F.col("n")
+    total = F.sum("n").over(Window.partitionBy(by))
+    places = counts.withColumns({"before": all_before, "total": total})
+    middle = places.filter("before <= floor(total / 2) AND before + n > floor((total - 1) / 2)")
+    ranked = rows.join(middle, [by, "bucket"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(by, "bucket").orderBy("v")) - 1)
+    return ranked.filter("place IN (floor((total - 1) / 2), floor(total / 2))").groupBy(by).agg(F.avg("v").alias("median"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those of equal key, and the rest of new added; new has one row a key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -45,6 +45,19 @@ def interval_join(points: DataFrame, spans: DataFrame, point: str, low: str, hig
     return p.join(s, "_bucket").filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
+def recent_count(events: DataFrame, by: str, time: str, hours: int = 1) -> DataFrame:
+    """events with n: how many events of its key lie within so many hours before it, itself and those of its own time included.
+
+    Every event is dealt to its own span of `hours` and to the next, so that a
+    key with very many rows is sorted span by span.  Events without a time are
+    left out.
+    """
+    span = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / (3600 * hours))
+    dealt = events.withColumn("_own", span).filter("_own IS NOT NULL").withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(by, "_span").orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-hours * 3_600_000_000, 0)
+    return dealt.withColumn("n", F.count(F.lit(1)).over(w)).filter("_span = _own").drop("_own", "_span")
+
+
 def sessions(events: DataFrame, by: str, time: str, gap: str) -> DataFrame:
     """by, start, end (start of the gap after the last event), n: runs of events less than `gap` apart."""
     s = F.session_window(F.col(time), gap)

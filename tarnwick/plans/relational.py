@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.operators import skew, temporal
 from tarnwick.registry import query, sql_query
 from tarnwick.sources.tables import table
 
@@ -109,7 +110,6 @@ sql_query("q_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice
 sql_query("q_moments", "SELECT c_mktsegment, round(skewness(c_acctbal), 4) AS s, round(stddev_pop(c_acctbal), 3) AS p, round(var_samp(c_acctbal / 1000), 4) AS v FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, round(skewness(c_acctbal) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 4) AS s, round(stddev_pop(c_acctbal), 3) AS p, round(var_samp(c_acctbal / 1000), 4) AS v FROM customer GROUP BY c_mktsegment")
 sql_query("q_logical_aggregates", "SELECT o_orderpriority, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_orderstatus = 'P') AS any_one, bit_or(o_orderkey) AS bits, bit_xor(o_custkey) AS x FROM {orders} GROUP BY o_orderpriority")
 sql_query("q_histogram", "SELECT CAST(floor(o_totalprice / 25000) AS INT) AS bin, count(*) AS n FROM {orders} GROUP BY 1")
-sql_query("q_percentile", "SELECT c_mktsegment, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 4) AS med FROM {customer} GROUP BY c_mktsegment")
 sql_query("q_distinct_count", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM {lineitem} GROUP BY l_suppkey")
 sql_query("q_min_max_by", "SELECT c_nationkey, max_by(c_custkey, c_acctbal * 1000000 + c_custkey) AS richest FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, arg_max(c_custkey, c_acctbal * 1000000 + c_custkey) AS richest FROM customer GROUP BY c_nationkey")
 sql_query(
@@ -141,7 +141,6 @@ sql_query(
     "SELECT o_orderkey, lag(o_orderkey, 1) OVER w AS prev, lead(o_orderkey, 2, -1) OVER w AS later, first_value(o_orderkey) OVER w AS f FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
 )
 sql_query("q_window_rows", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n, max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {events}")
-sql_query("q_window_range", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}")
 sql_query("q_window_distribution", "SELECT c_custkey, round(cume_dist() OVER w, 6) AS share, nth_value(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)")
 sql_query("q_window_share", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 6) AS share FROM {supplier}")
 sql_query("q_gaps_and_islands", "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM {events}) t GROUP BY user_id, event_type, g")
@@ -163,6 +162,18 @@ sql_query(
 )
 
 
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
+def q_window_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Five types hold all events, so they are sorted hour by hour.
+    return temporal.recent_count(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts").select("event_id", "n")
+
+
+@query("SELECT c_mktsegment, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 4) AS med FROM customer GROUP BY c_mktsegment")
+def q_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Five segments hold all customers; no task ranks more than the middle of one.
+    return skew.exact_median(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", 10.0).select("c_mktsegment", F.round("median", 4).alias("med"))
+
+
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
 def q_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     # row_number() <= k is limited within each partition before the shuffle.
@@ -182,3 +193,10 @@ def _hinted(hint: str):
 
 for _hint in ("merge", "shuffle_hash"):
     query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")(_hinted(_hint))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def q_join_hint_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smaller side is sent to all only after its rows have been counted."""
+    o, c = table(spark, sf_dir, "orders").select("o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return o.join(skew.broadcast_small(c), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))

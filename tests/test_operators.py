@@ -81,6 +81,42 @@ def test_sketches_are_near_the_truth(spark):
     assert abs(found - exact) < 0.05 * exact
 
 
+def test_approximate_percentiles_and_counts_are_near_the_truth(spark):
+    from tarnwick import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_returnflag", "l_extendedprice", "l_partkey").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+    for r in catalog.QUERIES["op_approx_percentile"](spark, "/root/testdata/sf0.01").collect():
+        prices = sorted(x[1] for x in by[r["l_returnflag"]])
+        below, at = sum(p < r["med"] for p in prices), sum(p <= r["med"] for p in prices)
+        assert below - len(prices) / 1000 <= len(prices) / 2 <= at + len(prices) / 1000
+        exact = len({x[2] for x in by[r["l_returnflag"]]})
+        assert abs(r["parts"] - exact) < 0.15 * exact
+
+
+def test_medians_and_recent_counts_of_odd_rows(spark):
+    rng = random.Random(8)
+    rows = [(f"k{i % 3}", None if i % 17 == 0 else float(rng.randint(-5, 5) * rng.choice([1, 1000]))) for i in range(200)] + [("one", 7.0), ("none", None), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    groups = collections.defaultdict(list)
+    for k, x in rows:
+        if x is not None and k is not None:
+            groups[k].append(x)
+    got = {r["k"]: r["median"] for r in skew.exact_median(df, "k", "x", 2.0).collect() if r["k"] is not None}
+    assert got == {k: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2 for k, v in groups.items()}
+    events = [(i, "hot" if i % 4 else "b", at(rng.randint(0, 40) / 4)) for i in range(150)] + [(900, "hot", None)]
+    found = {r["id"]: r["n"] for r in temporal.recent_count(spark.createDataFrame(events, "id long, k string, t timestamp"), "k", "t").collect()}
+    assert found == {i: sum(k2 == k and t2 is not None and t - dt.timedelta(hours=1) <= t2 <= t for _, k2, t2 in events) for i, k, t in events if t is not None}
+
+
+def test_broadcast_only_of_few_rows(spark):
+    small = spark.range(10)
+    assert "broadcast" in skew.broadcast_small(small)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in skew.broadcast_small(small, 5)._jdf.queryExecution().logical().toString().lower()
+
+
 def test_late_rows_are_dropped_behind_the_watermark(spark):
     folder = scratch(spark, "late")
     schema = "event_id long, ts timestamp"
