@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from .blocks import matrix, usable
 from .common import table, written
 
-#: The centroids are fitted on at most SAMPLE vectors, and there are at most MAX_LISTS of them.
-SAMPLE, MAX_LISTS = 20_000, 16_384
+#: The centroids are fitted on SAMPLE vectors, or EACH for each of them where that is more, and there are at most MAX_LISTS of them.
+SAMPLE, EACH, MAX_LISTS = 20_000, 8, 16_384
 #: Vectors that every query is compared with before it probes.
 PRIMER = 2048
 #: Vectors that one task scans (neighbouring lists, or a part of a large one), and queries that it scans them for.
@@ -147,7 +147,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     part, nor do rows without an id; shorter vectors count as ending in zeros.
     Equal vectors are searched once, by their smallest id, and expand to their
     own ids at the end.  All rows are indexed; only the centroids are fitted on
-    a bounded sample.  An empty table or query set gives no rows.
+    a bounded sample.  Columns of other names are not read.  An empty table or
+    query set gives no rows.
     """
     spark = vectors.sparkSession
     zero = ~F.exists("vec", lambda x: x != 0)
@@ -170,11 +171,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     if not n:
         return spark.createDataFrame([], out)
 
-    sample = named.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).select("vid", "vec").toArrow()
+    lists = min(MAX_LISTS, max(1, int(2 * math.sqrt(n))))
+    sample = named.orderBy(F.xxhash64("vid"), "vid").limit(max(SAMPLE, EACH * lists)).select("vid", "vec").toArrow()
     # A query's nearest in the primer are found already, and bound its k-th nearest of all.
     primer_ids, primer_rows = sample["vid"].to_numpy()[:PRIMER], matrix(sample["vec"], width)[:PRIMER]
     sample = augment(matrix(sample["vec"], width), longest)
-    lists = min(MAX_LISTS, max(1, int(2 * math.sqrt(n))), max(1, len(sample) // 8))
+    lists = min(lists, max(1, len(sample) // EACH))
     centres = centroids(sample, lists)
     probes = min(lists, probes_needed(sample, centres, k))
     turn = rotation(width + 1)
@@ -190,7 +192,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     counts = np.zeros(lists, np.int64)
     for r in index.groupBy("list").count().collect():
         counts[r["list"]] = r["count"]
-    shelves = shelve(counts, centres, LIST_BLOCK)
+    block = min(LIST_BLOCK, max(512, n // (2 * spark.sparkContext.defaultParallelism)))  # so that small tables keep all cores busy
+    shelves = shelve(counts, centres, block)
 
     def probe(batches):
         for b in batches:
@@ -221,7 +224,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asks = written(heads.mapInArrow(probe, "vec array<double>, qid long, bound double, shelf int, lists array<int>"), "ann-probes")
     asked_of = {r["shelf"]: r["count"] for r in asks.groupBy("shelf").count().collect()}
     held = np.bincount(shelves, weights=counts)
-    grid = [(int(s), max(1, -(-int(held[s]) // LIST_BLOCK)), -(-n // QUERY_BLOCK)) for s, n in asked_of.items()]
+    grid = [(int(s), max(1, -(-int(held[s]) // block)), -(-n // QUERY_BLOCK)) for s, n in asked_of.items()]
     if not grid:
         return spark.createDataFrame([], out)
     grid = F.broadcast(spark.createDataFrame(grid, "shelf int, nv int, nq int"))  # no more rows than MAX_LISTS

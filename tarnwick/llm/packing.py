@@ -289,8 +289,9 @@ def _place(slots: np.ndarray):
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, effort: int = EFFORT) -> DataFrame:
     """Place every piece of docs(doc_id, text, ...): token_pieces()' columns, sequence_id and offset.
 
-    A null text is empty (its only id is end_id); repeated rows and rows
-    without a doc_id are packed like any other; an empty table gives no rows.
+    A null text is empty (its only id is end_id); a very long one is tokenised
+    whole, in one task; repeated rows and rows without a doc_id are packed like
+    any other; other columns are not read; an empty table gives no rows.
     The driver holds one count per length and the patterns, whose number
     depends on `capacity` and not on the corpus.
     """

@@ -85,8 +85,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     the smaller id; rows equal in id and vector are one row; shorter vectors
     count as ending in zeros.  Scores are exact: in doubles where none can reach
     2^53, in 64-bit integers beyond; vectors whose scores could exceed these are
-    refused.  An empty table or query set gives no rows; fewer candidates than k
-    are all returned.
+    refused.  Columns of other names are not read.  An empty table or query set
+    gives no rows; fewer candidates than k are all returned.
     """
     spark = rows.sparkSession
     rows, asks = written(rows.distinct(), "topk-rows"), written(queries.distinct(), "topk-queries")

@@ -1,9 +1,9 @@
 """URL filters by hashed expressions, in DataFrame functions only.
 
-A URL expands into expressions: the suffixes of its host's labels with the
-path prefixes, of the depths and lengths that some rule has.  Expressions meet rules in an
-equi-join on a short hash prefix; the full digest then confirms the match, and
-the longest rule decides.
+A URL expands into expressions: the suffixes of its host's labels that are a
+rule's host, with the path prefixes of the lengths that this host's rules have.
+Suffixes and expressions meet rules in equi-joins on a short hash prefix; the
+full digest then confirms the match, and the longest rule decides.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Hex digits of the short hash, and the most distinct lengths of rule paths and depths of rule hosts (each pair of them is one expression).
-SHORT, MAX_LENGTHS = 8, 256
+#: Hex digits of the short hash, and the most distinct numbers of labels of rule hosts (DNS allows 127).
+SHORT, MAX_DEPTHS = 8, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,35 +50,40 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     allow, then the first by code point.  Without a rule `default` holds.  URLs
     are judged once for each distinct host and path head, so rows may repeat
     and page_id may be null; a null url has an empty host and path.  A host of
-    very many labels has no more suffixes than rule hosts have depths.
+    very many labels has no more suffixes than rule hosts have depths, and of a
+    very long path no more is hashed than the longest rule's.  Columns of other
+    names are not read; an empty table gives no rows, and no rules leave all
+    to `default`.
     """
     host, path = split_url(F.col("url"))
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"))
     rules = rules.filter("r_host IS NOT NULL AND verdict IS NOT NULL").distinct()
 
-    def distinct(size: Column, what: str) -> list[int]:
-        found = sorted(r[0] for r in rules.select(size).distinct().limit(MAX_LENGTHS + 1).collect())
-        if len(found) > MAX_LENGTHS:
-            raise ValueError(f"rule {what} have over {MAX_LENGTHS} different lengths")
-        return found
-
-    lengths = distinct(F.length("r_path"), "paths")
-    depths = distinct(F.size(F.split("r_host", r"\.")), "hosts")
-    longest = max(lengths, default=0)
-    named = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("head", F.substring("path", 1, longest))
-    if not lengths:
+    depth = F.size(F.split("r_host", r"\."))
+    depths = sorted(r[0] for r in rules.select(depth).distinct().limit(MAX_DEPTHS + 1).collect())
+    if len(depths) > MAX_DEPTHS:
+        raise ValueError(f"rule hosts have over {MAX_DEPTHS} different numbers of labels")
+    longest = rules.agg(F.max(F.length("r_path"))).first()[0]
+    named = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("head", F.substring("path", 1, longest or 0))
+    if longest is None:
         return named.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     labels = F.split("host", r"\.")
     # A slice from -n holds the last n labels; of a host with fewer it would be empty.
     hosts = F.array_compact(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in depths]))
-    heads = F.array_compact(F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in lengths]))
-    digest = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
     keys = named.filter("host != ''").select("host", "head").distinct()
-    expressions = keys.select("host", "head", F.explode(hosts).alias("suffix"), heads.alias("heads")).select("host", "head", "suffix", F.explode("heads").alias("prefix"))
-    expressions = expressions.withColumn("full", digest(F.col("suffix"), F.col("prefix")))
-    expressions = expressions.select("host", "head", "full", F.substring("full", 1, SHORT).alias("short"))
-    rules = rules.withColumn("r_full", digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("r_full", 1, SHORT))
+
+    # Suffixes that are a rule's host, with the lengths of that host's rule paths: path prefixes of no others are hashed.
+    suffixes = keys.select("host").distinct().select("host", F.explode(hosts).alias("suffix")).withColumn("full", F.sha2("suffix", 256))
+    owners = rules.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")).withColumn("r_full", F.sha2("r_host", 256))
+    short = lambda c: F.substring(c, 1, SHORT).alias("short")
+    owned = suffixes.select("*", short("full")).join(owners.select("r_full", "lengths", short("r_full")), "short").filter("full = r_full")
+    owned = written(owned.select(F.col("host").alias("o_host"), "suffix", "lengths"), "url-hosts")
+
+    digest = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
+    expressions = keys.join(owned, F.col("host") == F.col("o_host")).select("host", "head", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("head"))).alias("n"))
+    expressions = expressions.withColumn("full", digest(F.col("suffix"), F.expr("substring(head, 1, n)"))).select("host", "head", "full", short("full"))
+    rules = rules.withColumn("r_full", digest(F.col("r_host"), F.col("r_path"))).select("*", short("r_full"))
     met = expressions.join(rules, "short").filter("full = r_full")
     rank = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("verdict") == "block").cast("int").alias("b"))
     best = met.groupBy("host", "head").agg(F.max(F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("best"))

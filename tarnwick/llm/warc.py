@@ -42,14 +42,14 @@ def _quoted(url: str | None) -> str:
     return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, seconds: int, refers_to: int | None = None, revisit: bool = False) -> bytes:
-    """One WARC/1.1 response or revisit record, uncompressed."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, seconds: int, refers_to: int | None = None, revisit: bool = False, mark: str = "") -> bytes:
+    """One WARC/1.1 response or revisit record, uncompressed; mark makes the id of a record whose page_id is not its own unique."""
     import time
 
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(seconds))
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_quoted(url) or 'urn:none'}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}{mark}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_quoted(url) or 'urn:none'}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'none' if refers_to is None else refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -69,12 +69,12 @@ def _writer(folder: str, archive_bytes: int):
                 out = None
 
         for b in batches:
-            for page_id, url, html, sha, keeper, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, sha, keeper, revisit, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     name, size, rows = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                plain = record(page_id, url, html or b"", digest, FIRST_SECOND + (page_id or 0) % 10**9, keeper, revisit)
+                plain = record(page_id, url, html or b"", digest, FIRST_SECOND + (page_id or 0) % 10**9, keeper, revisit, f":{name.partition('.')[0]}-{rows}" if shared else "")
                 z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = z.compress(plain) + z.flush()
                 out.write(data)
@@ -92,8 +92,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     The payload is the html in UTF-8 (null: empty).  Of the records with equal
     payloads those of the largest page_id are responses (rows repeated with it,
-    all of them; a page_id beats none), the others revisits of it.  folder is a
-    URI that the driver and executors share (file, hdfs, s3 or gs).
+    all of them; a page_id beats none), the others revisits of it.  A record's
+    id is unique, whatever the page_ids.  Columns of other names are not read;
+    an empty table gives archives without records, and very long payloads are
+    records like any other.  folder is a URI that the driver and executors share
+    (file, hdfs, s3 or gs).
     """
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
@@ -104,7 +107,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     same = written(same.select(F.col("sha").alias("k_sha"), "keeper"), "warc-repeats")
     rows = rows.join(same, F.col("sha") == F.col("k_sha"), "left")
     revisit = F.col("k_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    rows = rows.select("page_id", "url", "html", "sha", "keeper", revisit.alias("revisit"))
+    ids = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND page_id IS NOT NULL")
+    ids = written(ids.select(F.col("page_id").alias("k_id")), "warc-repeated-ids")
+    rows = rows.join(ids, F.col("page_id") == F.col("k_id"), "left")
+    shared = F.col("page_id").isNull() | F.col("k_id").isNotNull()
+    rows = rows.select("page_id", "url", "html", "sha", "keeper", revisit.alias("revisit"), shared.alias("shared"))
     return written(rows.mapInArrow(_writer(folder, archive_bytes), "archive string, records long, bytes long"), "warc-manifest")
 
 
@@ -145,7 +152,11 @@ def _scanner(folder: str):
         import time
 
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        number = lambda s: None if s is None or s == "<urn:page:none>" else int(s[len("<urn:page:") : -1])
+
+        def number(s):
+            s = s and s[len("<urn:page:") : -1].partition(":")[0]
+            return int(s) if s and s != "none" else None
+
         names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
         for b in batches:
             for archive in b.column(0).to_pylist():

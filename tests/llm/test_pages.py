@@ -106,6 +106,14 @@ def test_urls_are_judged_as_by_hand(spark):
     assert urls.judge(df.limit(0), urls.rule_table(spark)).count() == 0
 
 
+def test_rules_of_very_many_path_lengths(spark):
+    rules = [("block" if n % 2 else "allow", "example.com", "/" + "p" * n) for n in range(600)] + [("block", f"h{n}.org", "/") for n in range(50)]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    sample = [f"http://a.example.com/{'p' * n}?q" for n in (0, 1, 300, 599, 1000)] + ["http://x.h7.org/z", "http://h99.org/"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(sample)), "page_id long, url string"), table).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter((i, *brute_judge(u, rules)) for i, u in enumerate(sample))
+
+
 def test_urls_of_many_labels_and_long_paths(spark):
     rows = [(0, "http://" + "a." * 100_000 + "example.com/en/" + "x/" * 100_000), (1, "http://" + "." * 100_000), (2, "http://net." + "b." * 50_000 + "net/es/")]
     got = {r["page_id"]: (r["rule"], r["verdict"], len(r["host"])) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rule_table(spark)).collect()}
@@ -133,6 +141,11 @@ def test_archives_round_trip(spark):
     assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows) == want
     order = [(r["url_key"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0) for r in rows]
     assert order == sorted(order) and index.rdd.getNumPartitions() > 2
+    ids = []
+    for name in {r["archive"] for r in rows}:
+        with open(f"{folder.removeprefix('file://')}/{name}", "rb") as f:
+            ids += [warc.parse(data)[0]["WARC-Record-ID"] for _, _, data in warc.members(f)]
+    assert len(ids) == len(set(ids)) == len(pages)
     r = next(r for r in rows if r["page_id"] == 503)
     with open(f"{folder.removeprefix('file://')}/{r['archive']}", "rb") as f:
         f.seek(r["offset"])
@@ -142,6 +155,16 @@ def test_archives_round_trip(spark):
     assert warc.capture_index(empty, folder).count() == 0
 
 
+def test_op8_query(spark):
+    pages = [(r["page_id"], r["html"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    keep = {}
+    for i, html in pages:
+        keep[html] = max(keep.get(html, i), i)
+    want = {i: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if keep[h] == i else "revisit", None if keep[h] == i else keep[h]) for i, h in pages}
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.op8_warc(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
 def test_members_are_found_across_chunks():
     plain = [bytes([i]) * (i * 37) for i in range(20)]
     packed = [gzip.compress(p) for p in plain]
