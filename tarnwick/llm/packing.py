@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import random
 import sys
 import zlib
 from typing import NamedTuple
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import ranked, table, written
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
-#: Fillings that a node tries, from start to start of the search, and the nodes of each start.
-WIDTHS, EFFORT = (1, 2, 4, 16, 2_000), 4_000
+#: Fillings that a node tries, from start to start of the search; the effort of each start, and a node's share of it.
+WIDTHS, EFFORT, NODE = (1, 4, 16, 2_000), 8_000, 4
+#: Ways down before the search, by the share of nodes that spare small pieces.
+DIVES = (1.0, 0.0, 0.5, 0.25, 0.75, 0.9)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -68,10 +71,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, n) for room in groups.values() for p, n in room.items()]
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, limit: int) -> tuple[list[Pattern], bool]:
-    """Undominated sets of the lengths left that fill `room` up to at most `waste`, and whether they are all of them.
+def fillings(counts: dict[int, int], room: int, waste: int, limit: int, steps: int) -> tuple[list[Pattern], bool, int]:
+    """Undominated sets of the lengths left that fill `room` up to at most `waste`, whether they are all of them, and how many sets were looked at.
 
-    Fullest first, then those of longer pieces; at most `limit` sets.  Which
+    Fullest first, then those of longer pieces; at most `limit` sets, of at most `steps` looked at.  Which
     sums the lengths from each on can make is known beforehand, as the bits of
     one number, so every step of the enumeration leads to a set.  Dropped:
     those that a length left still fits into, and those in which one piece, or
@@ -111,13 +114,50 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int) -> tuple
         return any(at < len(spare) and spare[at] <= x + left for at, x in places)
 
     found: list[Pattern] = []
+    seen = 0
     for over in range(min(waste, room) + 1):
         for c in grow(0, room - over, ()) if sums[0] >> (room - over) & 1 else ():
+            seen += 1
             if not dominated(over, c):
                 found.append(c)
-                if len(found) == limit:
-                    return found, False
-    return found, True
+            if len(found) == limit or seen == steps:
+                return found, False, seen
+    return found, True, seen
+
+
+def sparing_filling(counts: dict[int, int], room: int) -> Pattern:
+    """The fullest set of the lengths left in `room`, of those the one whose smallest piece is largest: small pieces are what fills sequences later."""
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    mask, reach, sums = (1 << (room + 1)) - 1, 1, [1]  # what the first i lengths can make
+    for x in lengths:
+        left, step = min(counts[x], room // x), 1
+        while left:
+            step = min(step, left)
+            reach |= reach << (step * x)
+            left, step = left - step, step * 2
+        reach &= mask
+        sums.append(reach)
+        if reach >> room & 1:
+            break
+    left, chosen, i = reach.bit_length() - 1, [], len(sums) - 1
+    while left:
+        x, k = lengths[i - 1], 0
+        while not sums[i - 1] >> (left - k * x) & 1:
+            k += 1
+        if k:
+            chosen.append((x, k))
+        left, i = left - k * x, i - 1
+    return tuple(chosen)
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: pieces over half a sequence are alone among themselves, and what shorter ones exceed their room needs more; the best over all cuts of what counts as short."""
+    best = -(-sum(x * n for x, n in counts.items()) // capacity)
+    for cut in range(capacity // 2 + 1):
+        large = [(x, n) for x, n in counts.items() if 2 * x > capacity]
+        over = sum(x * n for x, n in counts.items() if cut <= x and 2 * x <= capacity) - sum((capacity - x) * n for x, n in large if x <= capacity - cut)
+        best = max(best, sum(n for _, n in large) + max(0, -(-over // capacity)))
+    return best
 
 
 class Plan(NamedTuple):
@@ -131,19 +171,22 @@ class Plan(NamedTuple):
 def complete(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> Plan:
     """Patterns that hold all pieces of the histogram in as few sequences as the search finds.
 
-    One search for all sizes: around the longest piece left it tries the
-    undominated fillings, each as often as its lengths last and once, and turns
-    back where the waste that a better solution may still have is used up.
-    Nodes along the way complete their partial solutions by best fit.  It
-    starts anew with more fillings a node (WIDTHS), `effort` nodes each, until
-    a solution meets the bound or a start has tried everything.  Otherwise it is
-    a heuristic: `proven` tells.
+    One search for all sizes.  Incumbents come from best fit and from DIVES
+    straight ways down, which fill around the longest piece left with the
+    longest pieces, or with such as spare small ones, or with either by turns.
+    The search then tries the undominated fillings around the longest piece,
+    each as often as its lengths last and once, and turns back where the waste
+    that a better solution may still have is used up; nodes along the way
+    complete their partial solutions by best fit.  It starts anew with more
+    fillings a node (WIDTHS), with `effort` for each start (a node costs NODE, a
+    set looked at 1), until a solution meets the bound or a start has tried
+    everything.  Otherwise it is a heuristic: `proven` tells.
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
     size, total = sum(n for _, n in best), sum(x * n for x, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    nodes, whole = 0, False
+    bound = least_sequences(counts, capacity)
+    left_over, whole = 0, False
 
     def better(solution: list[tuple[Pattern, int]]) -> None:
         nonlocal best, size
@@ -152,8 +195,8 @@ def complete(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> Pla
             best, size = list(solution), n
 
     def search(left: dict[int, int], used: int, wasted: int, chosen: list, width: int) -> None:
-        nonlocal nodes, whole
-        nodes -= 1
+        nonlocal left_over, whole
+        left_over -= NODE
         if not left:
             better(chosen)
         if size <= bound or not left:
@@ -164,8 +207,8 @@ def complete(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> Pla
             better([*chosen, *best_fit(left, capacity)])
         allowed = (size - 1) * capacity - total - wasted
         top = max(left)
-        options, every = fillings(left | {top: left[top] - 1}, capacity - top, allowed, width)
-        whole &= every
+        options, every, seen = fillings(left | {top: left[top] - 1}, capacity - top, allowed, width, max(left_over, 1))
+        left_over, whole = left_over - seen, whole and every
         for c in options:
             need = dict(c)
             need[top] = need.get(top, 0) + 1
@@ -174,18 +217,35 @@ def complete(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> Pla
             times = min(times, max(1, allowed // waste)) if waste else times
             pattern = tuple(sorted(need.items(), reverse=True))
             for n in dict.fromkeys((times, 1)):
-                if nodes < 0:
+                if left_over < 0:
                     whole = False
-                if nodes < 0 or size <= bound:
+                if left_over < 0 or size <= bound:
                     return
                 after = {x: m for x, m in ((x, m - need.get(x, 0) * n) for x, m in left.items()) if m}
                 search(after, used + n, wasted + waste * n, [*chosen, (pattern, n)], width)
 
+    def dive(share: float, rng: random.Random) -> list[tuple[Pattern, int]]:
+        """Patterns all the way down, each as often as its lengths last; share: of nodes that spare small pieces."""
+        left, chosen = dict(counts), []
+        while left:
+            top = max(left)
+            rest = left | {top: left[top] - 1}
+            found = [] if rng.random() < share else fillings(rest, capacity - top, capacity, 1, capacity)[0]
+            need = dict(found[0] if found else sparing_filling(rest, capacity - top))
+            need[top] = need.get(top, 0) + 1
+            n = min(left[x] // k for x, k in need.items())
+            chosen.append((tuple(sorted(need.items(), reverse=True)), n))
+            left = {x: m for x, m in ((x, m - need.get(x, 0) * n) for x, m in left.items()) if m}
+        return chosen
+
+    for i, share in enumerate(DIVES):
+        if size > bound:
+            better(dive(share, random.Random(i)))
     depth = sys.getrecursionlimit()
     sys.setrecursionlimit(max(depth, 20_000))
     try:
-        for width in WIDTHS:
-            nodes, whole = effort, True
+        for width in WIDTHS if size > bound else ():
+            left_over, whole = effort, True
             search(counts, 0, 0, [], width)
             if size <= bound or whole:
                 break

@@ -317,7 +317,7 @@ def test_fillings_are_the_undominated_sets():
     for _ in range(200):
         counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
         room, waste = rng.randint(1, 60), rng.randint(0, 10)
-        found, whole = packing.fillings(counts, room, waste, 10_000)
+        found, whole, _ = packing.fillings(counts, room, waste, 10_000, 100_000)
         sets = [{}]
         for x, n in counts.items():
             sets = [s | ({x: k} if k else {}) for s in sets for k in range(n + 1)]
