@@ -137,17 +137,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hung = e.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return hung.union(low.select("a", F.col("m").alias("b"))).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every node hangs from one root that hangs from none."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(e.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up > 1 OR up = 1 AND low = 1").isEmpty()
 
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     current = written(down, name)
-    state = mark(current)
-    while state[0]:
+    while not settled(current):
         nxt = written(star(star(current, True), False), name)
         discard(current)
-        current, old, state = nxt, state, mark(nxt)
-        if state == old:
-            break
+        current = nxt
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

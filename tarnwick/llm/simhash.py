@@ -35,8 +35,8 @@ ROW_COST, PAIR_COST = 1.0, 0.002
 BLOCK = 1 << 16
 #: Of near copies: words of a shingle and least Jaccard similarity, as a fraction; words of a fingerprint's shingle and its radius.
 SHINGLE, ALIKE, PRINT, RADIUS = 5, (4, 5), 2, 8
-#: Texts that one task compares with each other, and their shingles; bits of the filter for texts that have candidates.
-FAMILY, FAMILY_SHINGLES, FILTER_BITS = 512, 1 << 21, 1 << 23
+#: Texts that one task compares with each other, and their shingles; bits of the filter for texts that have candidates; hashes in a sketch of a text.
+FAMILY, FAMILY_SHINGLES, FILTER_BITS, SKETCH = 512, 1 << 21, 1 << 23, 256
 _SIGN = 1 << 63
 
 
@@ -370,9 +370,9 @@ def _compare(members: pa.Table) -> pa.Table:
 
 
 def _loose(whole: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts that share at least half of their shingles."""
-    one, two = whole.select(F.col("text_hash").alias("a"), F.col("g").alias("g1")), whole.select(F.col("text_hash").alias("b"), F.col("g").alias("g2"))
-    fit = F.size(F.array_intersect("g1", "g2")) * 3 >= F.size("g1") + F.size("g2")
+    """The pairs (a, b) of texts that share about a third of their shingles or more, by the SKETCH smallest hashes of each: a hub travels once a pair, but never with its whole set."""
+    one, two = (whole.select(F.col("text_hash").alias(c), F.slice("g", 1, SKETCH).alias(f"g{c}")) for c in "ab")
+    fit = F.size(F.array_intersect("ga", "gb")) * 4 >= F.size("ga") + F.size("gb")
     return written(pairs.join(one, "a").join(two, "b").filter(fit).select("a", "b"), "simhash-loose")
 
 
@@ -381,9 +381,9 @@ def near_copies(docs: DataFrame, size: int = PRINT, radius: int = RADIUS) -> Dat
 
     Two texts are linked if their sets of SHINGLE-word shingles are at least
     ALIKE and fingerprints of their `size`-word shingles connect them, over
-    links of at most `radius` bits between texts that share half of their
-    shingles or more.  Within such a family every pair of different texts is
-    compared, in blocks of FAMILY texts, so only texts whose fingerprints lie
+    links of at most `radius` bits between texts that share about a third of
+    their shingles or more.  Within such a family every pair of different texts
+    is compared, in blocks of FAMILY texts, so only texts whose fingerprints lie
     too far apart can be missed.  Odd rows as in near_groups(); texts of fewer
     words than a shingle are one; texts without words are alike.
     """
