@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, ann, chat, licenses, mixing, packing, quality, simhash, topk, urls, warc
+from . import align, ann, chat, codes, licenses, mixing, packing, quality, simhash, topk, urls, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,7 +22,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_topk": topk.op9_topk,
     "op10_quality": quality.op10_quality,
+    "op12_codes": codes.op12_codes,
     "op13_align": align.op13_align,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op4_chat": chat.OP4_SQL, "op5_urls": urls.OP5_SQL, "op9_topk": topk.OP9_SQL}
+ORACLE_SQL = {"op4_chat": chat.OP4_SQL, "op5_urls": urls.OP5_SQL, "op9_topk": topk.OP9_SQL, "op12_codes": codes.OP12_SQL}
