@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, ann, chat, codes, licenses, mixing, packing, quality, simhash, topk, urls, warc
+from . import align, ann, chat, codes, langid, licenses, mixing, packing, quality, simhash, topk, urls, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_topk": topk.op9_topk,
     "op10_quality": quality.op10_quality,
+    "op11_langid": langid.op11_langid,
     "op12_codes": codes.op12_codes,
     "op13_align": align.op13_align,
     "pipeline": pipeline,
