@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators import skew, temporal
+from tarnwick.operators import ordered, sketches, skew, temporal
 from tarnwick.registry import query
 from tarnwick.sources.tables import table
 
@@ -122,3 +122,76 @@ def op_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An eighth of the orders, the same at every run and on every cluster: by hash, without a shuffle."""
     return table(spark, sf_dir, "orders").select("o_orderkey").filter(F.md5(F.col("o_orderkey").cast("string").cast("binary")) < "20")
+
+
+@query("""
+SELECT l.event_id, count(r.event_id) AS n, CAST(coalesce(sum(CAST(floor(r.value) AS BIGINT)), 0) AS BIGINT) AS total
+FROM (SELECT * FROM events WHERE event_type = 'purchase') l LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON r.ts < l.ts AND r.value >= l.value
+GROUP BY l.event_id
+""")
+def op_inequality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each purchase, how many earlier clicks were worth as much or more, and what they add up to: two inequalities and no equality."""
+    e = table(spark, sf_dir, "events")
+    bought = e.filter("event_type = 'purchase'").select("event_id", "ts", "value")
+    clicks = e.filter("event_type = 'click'").select(F.col("ts").alias("click_ts"), F.col("value").alias("click_value"), F.floor("value").cast("long").alias("worth"))
+    return ordered.inequality_sums(bought, clicks, [("ts", ">", "click_ts"), ("value", "<=", "click_value")], "worth").select("event_id", "n", "total")
+
+
+@query("""
+SELECT c_custkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 6) AS percent_rank, round(cume_dist() OVER w, 6) AS cume_dist,
+  CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS quarter
+FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment)
+""")
+def op_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of customers within 25 nations, by a column of five values and by one of many; no task holds a nation or a segment."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    tied = ordered.ranks(c, ["c_nationkey"], {"c_mktsegment": True})
+    single = ordered.ranks(c, ["c_nationkey"], {"c_acctbal": False, "c_custkey": True})
+    share = lambda name: F.round(name, 6).alias(name)
+    return tied.select("c_custkey", "rank", "dense_rank", share("percent_rank"), share("cume_dist")).join(single.select("c_custkey", ordered.ntile(4).alias("quarter")), "c_custkey")
+
+
+SHARES = [0.01, 0.25, 0.5, 0.9, 0.99]
+
+
+@query(f"""
+SELECT l_suppkey, unnest({SHARES}::DOUBLE[]) AS share, round(unnest(quantile_cont(l_extendedprice, {SHARES})), 4) AS percentile FROM lineitem GROUP BY l_suppkey
+""")
+def op_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five exact percentiles of each supplier's prices in one pass."""
+    return ordered.percentiles(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", SHARES).withColumn("percentile", F.round("percentile", 4))
+
+
+@query("""
+WITH t AS (SELECT l_partkey, l_suppkey, s_nationkey, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'supplier' AS level, CAST(l_suppkey AS BIGINT) AS key, count(DISTINCT l_partkey) AS parts FROM t GROUP BY l_suppkey
+UNION ALL SELECT 'nation', CAST(s_nationkey AS BIGINT), count(DISTINCT l_partkey) FROM t GROUP BY s_nationkey
+UNION ALL SELECT 'region', CAST(n_regionkey AS BIGINT), count(DISTINCT l_partkey) FROM t GROUP BY n_regionkey
+UNION ALL SELECT 'all', CAST(NULL AS BIGINT), count(DISTINCT l_partkey) FROM t
+""")
+def op_bitmap_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts of suppliers, nations, regions and in all from one scan of the line items; the coarser levels only merge bitmaps."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    place = place.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("nation"), F.col("n_regionkey").cast("long").alias("region"))
+    return sketches.distinct_by_level(line, place, "l_suppkey", "l_partkey", ["nation", "region"]).select(F.when(F.col("level") == "l_suppkey", "supplier").otherwise(F.col("level")).alias("level"), "key", F.col("n").alias("parts"))
+
+
+@query()
+def op_quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of each supplier's prices from KLL sketches of each year, stored and merged later; their rank error is tested."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_extendedprice")
+    stored = sketches.store_quantiles(line, ["l_suppkey", "year"], "l_extendedprice")
+    return sketches.merged_quantiles(spark, stored, ["l_suppkey"], [0.25, 0.5, 0.75])
+
+
+@query("""
+WITH t AS (SELECT l_suppkey, l_partkey, bool_or(l_returnflag = 'R') AS r, bool_or(l_returnflag != 'R') AS o FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, count(*) FILTER (WHERE r) AS returned, count(*) FILTER (WHERE o) AS kept, count(*) FILTER (WHERE r AND o) AS both, count(*) FILTER (WHERE o AND NOT r) AS never_returned, count(*) AS parts FROM t GROUP BY l_suppkey
+""")
+def op_sketch_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each supplier that have been returned, kept, both, or never returned, from theta sketches (exact up to 4,096 parts, estimates beyond)."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_returnflag") == "R").alias("r"))
+    return sketches.set_counts(line, ["l_suppkey"], "l_partkey", "r").select(
+        "l_suppkey", F.col("yes").alias("returned"), F.col("no").alias("kept"), "both", F.col("only_no").alias("never_returned"), F.col("either").alias("parts")
+    )

@@ -61,25 +61,6 @@ def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def exact_median(df: DataFrame, by: str, value: str, width: float) -> DataFrame:
-    """by, median: the exact median (of an even number, the middle two's mean) of value in each group; null values and keys take no part.
-
-    Values are counted in buckets of `width`, pre-aggregated before the
-    shuffle; only the buckets that hold the middle are ranked, so no task sorts
-    or holds a group.
-    """
-    from pyspark.sql.window import Window
-
-    rows = df.select(by, F.col(value).alias("v")).filter("v IS NOT NULL").withColumn("bucket", F.floor(F.col("v") / width))
-    counts = rows.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    all_before = F.sum("n").over(Window.partitionBy(by).orderBy("bucket")) - F.col("n")
-    total = F.sum("n").over(Window.partitionBy(by))
-    places = counts.withColumns({"before": all_before, "total": total})
-    middle = places.filter("before <= floor(total / 2) AND before + n > floor((total - 1) / 2)")
-    ranked = rows.join(middle, [by, "bucket"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(by, "bucket").orderBy("v")) - 1)
-    return ranked.filter("place IN (floor((total - 1) / 2), floor(total / 2))").groupBy(by).agg(F.avg("v").alias("median"))
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those of equal key, and the rest of new added; new has one row a key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

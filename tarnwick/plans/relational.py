@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwick.operators import skew, temporal
+from tarnwick.operators import ordered, skew, temporal
 from tarnwick.registry import query, sql_query
 from tarnwick.sources.tables import table
 
@@ -141,7 +141,6 @@ sql_query(
     "SELECT o_orderkey, lag(o_orderkey, 1) OVER w AS prev, lead(o_orderkey, 2, -1) OVER w AS later, first_value(o_orderkey) OVER w AS f FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
 )
 sql_query("q_window_rows", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n, max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {events}")
-sql_query("q_window_distribution", "SELECT c_custkey, round(cume_dist() OVER w, 6) AS share, nth_value(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)")
 sql_query("q_window_share", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 6) AS share FROM {supplier}")
 sql_query("q_gaps_and_islands", "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM {events}) t GROUP BY user_id, event_type, g")
 sql_query("q_distinct_on", "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM {events}) t WHERE r = 1", "SELECT DISTINCT ON (user_id) user_id, event_id, value FROM events ORDER BY user_id, value DESC, event_id")
@@ -168,10 +167,19 @@ def q_window_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.recent_count(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts").select("event_id", "n")
 
 
+@query("SELECT c_custkey, round(cume_dist() OVER w, 6) AS share, nth_value(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)")
+def q_window_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 25 nations hold all customers: ranks from prefix sums, and the second of each nation from its place.
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    shares = ordered.ranks(c, ["c_nationkey"], {"c_acctbal": True}).select("c_custkey", "c_nationkey", F.round("cume_dist", 6).alias("share"))
+    second = ordered.ranks(c, ["c_nationkey"], {"c_acctbal": True, "c_custkey": True}).filter("rank = 2").select("c_nationkey", F.col("c_custkey").alias("second"))
+    return shares.join(second, "c_nationkey", "left").select("c_custkey", "share", "second")
+
+
 @query("SELECT c_mktsegment, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 4) AS med FROM customer GROUP BY c_mktsegment")
 def q_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Five segments hold all customers; no task ranks more than the middle of one.
-    return skew.exact_median(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", 10.0).select("c_mktsegment", F.round("median", 4).alias("med"))
+    # Five segments hold all customers; values are counted, then dealt to ranges.
+    return ordered.percentiles(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", [0.5]).select("c_mktsegment", F.round("percentile", 4).alias("med"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")

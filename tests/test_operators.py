@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import skew, temporal
+from tarnwick.operators import ordered, sketches, skew, temporal
 from tarnwick.sources.tables import scratch
 from tarnwick.streaming.queries import drained
 
@@ -104,7 +104,7 @@ def test_medians_and_recent_counts_of_odd_rows(spark):
     for k, x in rows:
         if x is not None and k is not None:
             groups[k].append(x)
-    got = {r["k"]: r["median"] for r in skew.exact_median(df, "k", "x", 2.0).collect() if r["k"] is not None}
+    got = {r["k"]: r["percentile"] for r in ordered.percentiles(df, ["k"], "x", [0.5]).collect() if r["k"] is not None}
     assert got == {k: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2 for k, v in groups.items()}
     events = [(i, "hot" if i % 4 else "b", at(rng.randint(0, 40) / 4)) for i in range(150)] + [(900, "hot", None)]
     found = {r["id"]: r["n"] for r in temporal.recent_count(spark.createDataFrame(events, "id long, k string, t timestamp"), "k", "t").collect()}
@@ -140,3 +140,58 @@ def test_plans_push_down_and_limit_early(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan("q_top_per_group")
     assert "WindowGroupLimit" in plan("q_top_per_group")
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan("s_partitioned")
+
+
+def test_bitmaps_of_levels_count_exactly(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, 3, 4, None, 77]), rng.choice([None, 5, 40_000, 32_768, rng.randint(1, 300_000)])) for _ in range(500)]
+    place = {1: (10, 100), 2: (10, 100), 3: (11, 100), 4: (None, None)}
+    df = spark.createDataFrame(rows, "k long, v long")
+    where = spark.createDataFrame([(k, *p) for k, p in place.items()], "k long, nation long, region long")
+    want = collections.defaultdict(set)
+    for k, v in rows:
+        if k is not None and v is not None:
+            want["k", k].add(v)
+            if k in place:
+                for level, key in zip(("nation", "region", "all"), (*place[k], None)):
+                    want[level, key].add(v)
+    got = {(r["level"], r["key"]): r["n"] for r in sketches.distinct_by_level(df, where, "k", "v", ["nation", "region"]).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+    assert [tuple(r) for r in sketches.distinct_by_level(df.limit(0), where, "k", "v", ["nation", "region"]).collect()] == [("all", None, 0)]
+
+
+def test_stored_quantile_sketches_keep_their_rank_error(spark):
+    rng = random.Random(10)
+    rows = [(i % 3, i % 10, None if i % 50 == 0 else rng.choice([5.0, rng.gauss(0, 1), float("nan")])) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "k long, day long, x double")
+    folder = sketches.store_quantiles(df, ["k", "day"], "x")
+    assert spark.read.parquet(folder).count() == 30
+    for r in sketches.merged_quantiles(spark, folder, ["k"], [0.0, 0.1, 0.5, 0.9, 1.0]).collect():
+        v = sorted(x for k, _, x in rows if k == r["k"] and x is not None and x == x)
+        low, high = sum(x < r["quantile"] for x in v), sum(x <= r["quantile"] for x in v)
+        assert r["n"] == len(v) and low - 0.01 * len(v) <= r["share"] * len(v) <= high + 0.01 * len(v)
+    assert sketches.merged_quantiles(spark, sketches.store_quantiles(df.limit(0), ["k", "day"], "x"), ["k"], [0.5]).count() == 0
+
+
+def test_quantiles_of_suppliers_are_near_the_truth(spark):
+    from tarnwick import catalog
+
+    by = collections.defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_suppkey", "l_extendedprice").collect():
+        by[r[0]].append(r[1])
+    for r in catalog.QUERIES["op_quantile_sketches"](spark, "/root/testdata/sf0.01").collect():
+        v = by[r["l_suppkey"]]
+        assert abs(sum(x <= r["quantile"] for x in v) / len(v) - r["share"]) < 0.02 and r["n"] == len(v)
+
+
+def test_theta_sets_are_exact_when_small_and_near_when_large(spark):
+    rng = random.Random(12)
+    rows = [("small", rng.randint(0, 300), rng.choice([True, False, None])) for _ in range(500)] + [("one", 1, True), ("none", None, True), (None, 4, False)]
+    rows += [("large", i % 40_000, i % 40_000 < 30_000 if i < 40_000 else i % 40_000 < 10_000) for i in range(80_000)]
+    df = spark.createDataFrame(rows, "k string, v long, f boolean")
+    for r in sketches.set_counts(df, ["k"], "v", "f").collect():
+        yes, no = ({v for k, v, f in rows if k == r["k"] and v is not None and f is on} for on in (True, False))
+        want = [len(yes), len(no), len(yes & no), len(yes - no), len(no - yes), len(yes | no)]
+        got = [r[c] for c in ("yes", "no", "both", "only_yes", "only_no", "either")]
+        assert got == want if r["k"] != "large" else all(abs(a - b) < 0.06 * len(yes | no) for a, b in zip(got, want))
+    assert sketches.set_counts(df.limit(0), ["k"], "v", "f").count() == 0
