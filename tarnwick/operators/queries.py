@@ -125,41 +125,41 @@ def op_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l.event_id, count(r.event_id) AS n, CAST(coalesce(sum(CAST(floor(r.value) AS BIGINT)), 0) AS BIGINT) AS total
-FROM (SELECT * FROM events WHERE event_type = 'purchase') l LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON r.ts < l.ts AND r.value >= l.value
-GROUP BY l.event_id
+SELECT l.doc_id, count(r.doc_id) AS n, CAST(coalesce(sum(r.n_chars), 0) AS BIGINT) AS total
+FROM (SELECT * FROM documents WHERE lang = 'en') l LEFT JOIN (SELECT * FROM documents WHERE lang = 'de') r ON r.doc_id < l.doc_id AND r.n_chars >= l.n_chars
+GROUP BY l.doc_id
 """)
 def op_inequality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each purchase, how many earlier clicks were worth as much or more, and what they add up to: two inequalities and no equality."""
-    e = table(spark, sf_dir, "events")
-    bought = e.filter("event_type = 'purchase'").select("event_id", "ts", "value")
-    clicks = e.filter("event_type = 'click'").select(F.col("ts").alias("click_ts"), F.col("value").alias("click_value"), F.floor("value").cast("long").alias("worth"))
-    return ordered.inequality_sums(bought, clicks, [("ts", ">", "click_ts"), ("value", "<=", "click_value")], "worth").select("event_id", "n", "total")
+    """Of each English document, how many earlier German ones are as long or longer, and their characters: two inequalities and no equality."""
+    d = table(spark, sf_dir, "documents")
+    asking = d.filter("lang = 'en'").select("doc_id", "n_chars")
+    others = d.filter("lang = 'de'").select(F.col("doc_id").alias("earlier"), F.col("n_chars").alias("size"))
+    return ordered.inequality_sums(asking, others, [("doc_id", ">", "earlier"), ("n_chars", "<=", "size")], "size").select("doc_id", "n", "total")
 
 
 @query("""
-SELECT c_custkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 6) AS percent_rank, round(cume_dist() OVER w, 6) AS cume_dist,
-  CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS quarter
-FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment)
+SELECT doc_id, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 6) AS percent_rank, round(cume_dist() OVER w, 6) AS cume_dist,
+  CAST(ntile(4) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INT) AS quarter
+FROM documents WINDOW w AS (PARTITION BY lang ORDER BY source)
 """)
 def op_group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of customers within 25 nations, by a column of five values and by one of many; no task holds a nation or a segment."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    tied = ordered.ranks(c, ["c_nationkey"], {"c_mktsegment": True})
-    single = ordered.ranks(c, ["c_nationkey"], {"c_acctbal": False, "c_custkey": True})
+    """Ranks of documents within four languages, by a column of twenty values and by one of many; no task holds a language or a source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    tied = ordered.ranks(d, ["lang"], {"source": True})
+    single = ordered.ranks(d, ["lang"], {"n_chars": False, "doc_id": True})
     share = lambda name: F.round(name, 6).alias(name)
-    return tied.select("c_custkey", "rank", "dense_rank", share("percent_rank"), share("cume_dist")).join(single.select("c_custkey", ordered.ntile(4).alias("quarter")), "c_custkey")
+    return tied.select("doc_id", "rank", "dense_rank", share("percent_rank"), share("cume_dist")).join(single.select("doc_id", ordered.ntile(4).alias("quarter")), "doc_id")
 
 
 SHARES = [0.01, 0.25, 0.5, 0.9, 0.99]
 
 
 @query(f"""
-SELECT l_suppkey, unnest({SHARES}::DOUBLE[]) AS share, round(unnest(quantile_cont(l_extendedprice, {SHARES})), 4) AS percentile FROM lineitem GROUP BY l_suppkey
+SELECT source, lang, unnest({SHARES}::DOUBLE[]) AS share, round(unnest(quantile_cont(CAST(n_chars AS DOUBLE), {SHARES})), 4) AS percentile FROM documents GROUP BY source, lang
 """)
 def op_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five exact percentiles of each supplier's prices in one pass."""
-    return ordered.percentiles(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", SHARES).withColumn("percentile", F.round("percentile", 4))
+    """Five exact percentiles of the lengths of each source's and language's documents in one pass."""
+    return ordered.percentiles(table(spark, sf_dir, "documents"), ["source", "lang"], "n_chars", SHARES).withColumn("percentile", F.round("percentile", 4))
 
 
 @query("""
