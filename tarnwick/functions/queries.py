@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tarnwick.registry import query, sql_query
 from tarnwick.sources.tables import table
@@ -157,3 +158,38 @@ def u_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), _part("s_suppkey")).groupBy("k", "part")
     parts = a.cogroup(b).applyInPandas(sizes, "k int, customers long, suppliers long")
     return parts.groupBy("k").agg(F.sum("customers").alias("customers"), F.sum("suppliers").alias("suppliers"))
+
+
+class Since:
+    """For each row of the kind `mark`, how many of the kind `counted` came since the last one; a row a time, in the order that the call gives."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, kind: AnalyzeArgument, counted: AnalyzeArgument, mark: AnalyzeArgument) -> AnalyzeResult:
+        """The key column of the result has the type that it has in the table; its name, and that of the count, follow from the arguments."""
+        for a in (key, kind, counted, mark):
+            if not a.isConstantExpression or not isinstance(a.value, str):
+                raise ValueError("names of columns and kinds must be constant strings")
+        return AnalyzeResult(StructType([StructField(key.value, rows.dataType[key.value].dataType), StructField(f"n_{counted.value}", LongType())]))
+
+    def __init__(self):
+        self.n = 0
+
+    def eval(self, rows: Row, key: str, kind: str, counted: str, mark: str):
+        if rows[kind] == mark:
+            yield rows[key], self.n
+            self.n = 0
+        elif rows[kind] == counted:
+            self.n += 1
+
+
+@query("""
+WITH k AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM events)
+SELECT p.event_id, count(c.event_id) AS n_click FROM (SELECT * FROM k WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM k WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.g = c.g
+GROUP BY p.event_id
+""")
+def u_table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks before each purchase since the user's last: one pass over a table by user and time, one number as state, however many events a user has."""
+    spark.udtf.register("tarnwick_since", F.udtf(Since))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    call = "SELECT event_id, n_click FROM tarnwick_since(TABLE({rows}) PARTITION BY user_id ORDER BY (ts, event_id), 'event_id', 'event_type', 'click', 'purchase')"
+    return spark.sql(call, rows=rows)

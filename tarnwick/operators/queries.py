@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.operators import ordered, sketches, skew, temporal
+from tarnwick.operators import ordered, pruning, similarity, sketches, skew, temporal
 from tarnwick.registry import query
 from tarnwick.sources.tables import table
 
@@ -77,27 +77,16 @@ def op_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.block_search(e, e.filter("id % 50 = 0"), 5).withColumn("score", F.round("score", 8))
 
 
-@query()
-def op_minhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different part names whose character trigrams are alike (Jaccard distance under 0.6), all of them, by a prefix-filtered equi-join.
-
-    Each name is compared once, however many parts have it; their number comes
-    along.  A name of under three characters is a gram of its own.  Alike sets
-    share over 2/5 of either, so their first n - floor(2n/5) grams, rarest
-    first, share one; pairs that meet there are compared on whole sets.
-    """
-    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("s")).agg(F.count(F.lit(1)).alias("parts")).filter("s IS NOT NULL")
-    at = F.sequence(F.lit(1), F.greatest(F.length("s") - 2, F.lit(1)))
-    sets = names.select("s", "parts", F.array_distinct(F.transform(at, lambda i: F.substring("s", i, 3))).alias("g"))
-    grams = sets.select("s", F.explode("g").alias("w"))
-    ordered = grams.join(grams.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-    first = ordered.select("s", F.explode(F.slice("o", 1, F.size("o") - F.floor(F.size("o") * 2 / 5).cast("int"))).alias("x")).select("s", "x.w")
-    met = first.withColumnRenamed("s", "name").join(first.withColumnRenamed("s", "other"), "w").filter("name < other").select("name", "other").distinct()
-    one = sets.select(F.col("s").alias("name"), "parts", F.col("g").alias("g1"))
-    two = sets.select(F.col("s").alias("other"), F.col("parts").alias("other_parts"), F.col("g").alias("g2"))
-    both = F.size(F.array_intersect("g1", "g2"))
-    pairs = met.join(one, "name").join(two, "other").withColumns({"both": both, "all": F.size("g1") + F.size("g2") - both}).filter("both * 5 > all * 2")
-    return pairs.select("name", "other", "parts", "other_parts", F.round(1 - F.col("both") / F.col("all"), 6).alias("distance"))
+@query("""
+WITH RECURSIVE t AS (SELECT lower(p_name) AS s, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+g AS (SELECT s, n, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3))) AS g FROM t),
+p AS (SELECT a.s AS a, b.s AS b FROM g a JOIN g b ON a.s != b.s AND 5 * len(list_intersect(a.g, b.g)) > 2 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
+r(a, b) AS (SELECT s, s FROM t UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT t.s AS name, t.n AS rows, (SELECT count(*) FROM p WHERE p.a = t.s) AS links, (SELECT min(b) FROM r WHERE r.a = t.s) AS class FROM t
+""")
+def op_name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names whose trigrams are alike (Jaccard similarity above 0.4): the links and the class of each name, by a prefix-filtered equi-join."""
+    return similarity.similar_classes(table(spark, sf_dir, "part"), "p_name")
 
 
 @query("SELECT e.event_id, t.n FROM events e LEFT JOIN (SELECT event_type, count(*) AS n FROM events WHERE event_type != 'error' GROUP BY event_type) t ON e.event_type = t.event_type")
@@ -195,3 +184,19 @@ def op_sketch_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.set_counts(line, ["l_suppkey"], "l_partkey", "r").select(
         "l_suppkey", F.col("yes").alias("returned"), F.col("no").alias("kept"), "both", F.col("only_no").alias("never_returned"), F.col("either").alias("parts")
     )
+
+
+@query("SELECT c_custkey, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def op_pruned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, laid out by nation, of one region: which nations these are is known at run time only, and no other folder is read."""
+    c = pruning.partitioned(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_nationkey")
+    n = table(spark, sf_dir, "nation").filter("n_regionkey = 2").select("n_nationkey", "n_name")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_acctbal", "n_name")
+
+
+@query("SELECT o_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_totalprice > 400000")
+def op_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of few orders: a Bloom filter of these orders meets the lines before their shuffle, where the scan is large enough to repay it."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 400000").select("o_orderkey")
+    return pruning.filtered_join(line, o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")

@@ -4,9 +4,10 @@ import collections
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.operators import ordered, sketches, skew, temporal
+from tarnwick.operators import ordered, pruning, sketches, skew, temporal
 from tarnwick.sources.tables import scratch
 from tarnwick.streaming.queries import drained
 
@@ -195,3 +196,74 @@ def test_theta_sets_are_exact_when_small_and_near_when_large(spark):
         got = [r[c] for c in ("yes", "no", "both", "only_yes", "only_no", "either")]
         assert got == want if r["k"] != "large" else all(abs(a - b) < 0.06 * len(yes | no) for a, b in zip(got, want))
     assert sketches.set_counts(df.limit(0), ["k"], "v", "f").count() == 0
+
+
+def scans(df):
+    """(files read, executed plan) of a query, run without adaptive planning so that its scans can be asked."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    read = [leaves.apply(i).metrics().get("numFiles") for i in range(leaves.size())]
+    return sum(m.get().value() for m in read if m.isDefined()), plan.toString()
+
+
+def test_partitions_are_pruned_at_run_time(spark):
+    rows = [(i, i % 40 if i % 41 else None) for i in range(2000)]
+    fact = pruning.partitioned(spark.createDataFrame(rows, "id long, k int"), "k")
+    dim = spark.createDataFrame([(k, k % 10) for k in range(40)], "key int, part int")
+    dim.write.parquet(folder := scratch(spark, "dim"))
+    dim = spark.read.parquet(folder)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.optimizer.dynamicPartitionPruning.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        read, plans = {}, {}
+        for on in ("true", "false"):
+            spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", on)
+            df = fact.join(dim.filter("part = 3"), F.col("k") == F.col("key")).select("id", "k")
+            read[on], plans[on] = scans(df)
+            assert sorted(map(tuple, df.collect())) == sorted((i, k) for i, k in rows if k is not None and k % 10 == 3)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "dynamicpruning" in plans["true"] and "dynamicpruning" not in plans["false"]
+    assert read["true"] + 30 < read["false"]  # 4 folders of 41
+    assert fact.filter("k IS NULL").count() == sum(k is None for _, k in rows)
+
+
+def test_a_bloom_filter_meets_the_large_side_before_its_shuffle(spark):
+    large, small = scratch(spark, "large"), scratch(spark, "small")
+    spark.range(50_000).selectExpr("id % 9000 AS k", "id").write.parquet(large)
+    spark.range(9000).selectExpr("id AS key", "CAST(id % 100 AS INT) AS part").write.parquet(small)
+    l, s = spark.read.parquet(large), spark.read.parquet(small).filter("part = 7")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pruning.runtime_filters(spark, "0"):
+            df = l.join(s, F.col("k") == F.col("key"))
+            assert "might_contain" in df._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" not in l.join(s, F.col("k") == F.col("key"))._jdf.queryExecution().executedPlan().toString()
+        got = pruning.filtered_join(l, s, F.col("k") == F.col("key"), "0")
+        assert sorted(r["id"] for r in got.collect()) == [i for i in range(50_000) if i % 9000 % 100 == 7]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert pruning.filtered_join(l.limit(0), s, F.col("k") == F.col("key")).count() == 0
+
+
+def test_table_function_of_a_partitioned_table(spark):
+    from tarnwick.functions.queries import Since
+
+    rng = random.Random(13)
+    rows = [(f"e{i}", "hot" if i % 3 else rng.choice(["a", None]), rng.choice(["view", "buy", "other", None]), rng.randint(0, 50)) for i in range(300)]
+    want, n = {}, collections.Counter()
+    for e, u, kind, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        if kind == "buy":
+            want[e], n[u] = n[u], 0
+        elif kind == "view":
+            n[u] += 1
+    df = spark.createDataFrame(rows, "id string, u string, kind string, t int")
+    spark.udtf.register("since_test", F.udtf(Since))
+    ask = lambda d: spark.sql("SELECT * FROM since_test(TABLE({d}) PARTITION BY u ORDER BY (t, id), 'id', 'kind', 'view', 'buy')", d=d)
+    got = ask(df)
+    assert got.dtypes == [("id", "string"), ("n_view", "bigint")]
+    assert sorted(map(tuple, got.collect())) == sorted(want.items()) and ask(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="constant strings"):
+        spark.sql("SELECT * FROM since_test(TABLE({d}), 1, 'kind', 'view', 'buy')", d=df)
