@@ -200,7 +200,7 @@ def test_links_of_dense_fingerprints(spark, bucket):
     prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(60)} | {rng.getrandbits(64) for _ in range(200)}
     prints = sorted(prints)
     fps = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp long")
-    edges = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(fps, bucket=bucket).collect()]
+    edges = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(fps.selectExpr("fp", "fp AS id"), bucket=bucket).collect()]
     at = {p: i for i, p in enumerate(prints)}
     root = list(range(len(prints)))
 
@@ -227,10 +227,10 @@ def test_op2_query(spark):
 @pytest.mark.parametrize("radius", [3, 8])
 def test_forests_span_the_links(radius):
     rng = random.Random(radius)
-    for trial in range(30):
+    for _ in range(30):
         centres = [rng.getrandbits(64) for _ in range(3)]
         prints = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12))) for c in centres for _ in range(rng.randint(1, 40))})
-        a, b = simhash.forest(np.array(prints, np.uint64), radius, hubs=trial % 2 == 1)
+        a, b = (np.array(prints, np.uint64)[places] for places in simhash.forest(np.array(prints, np.uint64), radius))
         assert all((int(x) ^ int(y)).bit_count() <= radius and x != y for x, y in zip(a, b))
         at, root = {p: i for i, p in enumerate(prints)}, list(range(len(prints)))
 
