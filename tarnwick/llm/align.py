@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tarnwick.operators.skew import salted_join
 
-from .common import table, written
+from .common import spread, table, written
 
 #: Texts tokenised at a time, and about how many bytes of them: bounds a worker's memory.
 TEXTS, TEXT_BYTES = 64, 1 << 20
@@ -184,7 +184,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, pairs: int = PAIRS) ->
     not read; an empty table gives no rows.  Counts of at most `pairs` pairs are
     sent to all executors; more are joined by a shuffle, hot pairs salted.
     """
-    a = aligned(docs, a_path, b_path)
+    a = aligned(spread(docs.select("doc_id", "text")), a_path, b_path)
     text = F.array_join("groups", ";")
     sha = F.when(F.size("groups") == 0, "").otherwise(F.sha2(text, 256))
     rows = a.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), sha.alias("groups_sha256"), "links")

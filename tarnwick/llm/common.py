@@ -69,6 +69,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read in fewer tasks than these: tables of one or few files, whose texts are worth a shuffle then.  Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

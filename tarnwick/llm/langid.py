@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import spread, table, written
 
 #: Longest n-gram, bits of a hash, characters hashed at a time.
 ORDER, HASH_BITS, BLOCK = 4, 16, 1 << 18
@@ -256,6 +256,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     repeated rows get the same prediction; other columns are not read; an empty
     table gives no rows.
     """
+    docs = spread(docs.select("doc_id", "text", "lang"))
     return predict(docs, fit(docs, sample))
 
 

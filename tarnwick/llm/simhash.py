@@ -40,7 +40,7 @@ SHINGLE, ALIKE, PRINT, RADIUS = 5, (4, 5), 2, 8
 #: Texts that one task compares with each other, and their shingles; bits a text, and most bits, of the filter for texts that have candidates.
 FAMILY, FAMILY_SHINGLES, FILTER_SHARE, FILTER_BITS = 512, 1 << 21, 16, 1 << 28
 #: Lanes of a sketch, one byte of a minimal hash each, and how many of two sketches agree at least in a link.
-#: Of texts with a similarity of 0.8, 1 in 100,000 pairs agrees in fewer; of strangers, fewer than 1 in 10 million agrees in as many.
+#: Of texts with a similarity of 0.8, 3 in 100,000 pairs agree in fewer; of strangers, fewer than 1 in 10 million agrees in as many.
 LANES, AGREE = 16, 6
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
 _SIGN = 1 << 63
@@ -459,7 +459,7 @@ def near_copies(docs: DataFrame, size: int = PRINT, radius: int = RADIUS) -> Dat
     `size`-word shingles within `radius` bits, and sketches of these shingles
     that agree in AGREE lanes.  Within a family of such texts the comparison is
     exact and whole, so only texts whose fingerprints lie too far apart can be
-    missed (and one pair in 100,000 by its sketches).  Odd rows as in
+    missed (and 3 pairs in 100,000 by their sketches).  Odd rows as in
     near_groups(); texts of fewer words than a shingle are one; texts without
     words are alike.
     """
