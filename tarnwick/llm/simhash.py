@@ -439,7 +439,7 @@ def family_links(member: DataFrame) -> DataFrame:
     low = written(member.join(low, ["family", "text_hash"]), "simhash-low")
     one = member.join(low.select("family", F.col("text_hash").alias("low")), "family").filter("text_hash != low").select("family", "side", "text_hash", "g", F.lit(False).alias("first"), F.lit(True).alias("second"))
     asked = one.union(low.withColumn("side", every("blocks")).select("family", "side", "text_hash", "g", F.lit(True), F.lit(False)))
-    near = written(asked.groupBy("family", "side").applyInArrow(_compare, "a long, b long"), "simhash-near-low")
+    near = written(_compared(asked, "family", "side"), "simhash-near-low")
     done = near.select(F.explode(F.array("a", "b")).alias("text_hash")).union(low.select("text_hash")).distinct()
     rest = written(_blocked(member.select("family", "text_hash", "g").join(done, "text_hash", "left_anti").select("family", "text_hash", "g")), "simhash-rest")
     if rest.isEmpty():
@@ -448,7 +448,12 @@ def family_links(member: DataFrame) -> DataFrame:
     of_all, of_rest = (x.groupBy("family").agg(F.first("blocks").alias(c)) for x, c in ((member, "n_all"), (rest, "n_rest")))
     left = rest.join(of_all, "family").select("family", F.col("side").alias("one"), every("n_all").alias("two"), "text_hash", "g", F.lit(True).alias("first"), F.lit(False).alias("second"))
     right = member.join(of_rest, "family").select("family", every("n_rest").alias("one"), F.col("side").alias("two"), "text_hash", "g", F.lit(False).alias("first"), F.lit(True).alias("second"))
-    return near.union(written(left.union(right).groupBy("family", "one", "two").applyInArrow(_compare, "a long, b long").filter("a != b"), "simhash-alike"))
+    return near.union(written(_compared(left.union(right), "family", "one", "two").filter("a != b"), "simhash-alike"))
+
+
+def _compared(rows: DataFrame, *key: str) -> DataFrame:
+    """_compare() of each group, dealt by the whole key: else Spark would make do with an earlier dealing by family, and a large one would be one task."""
+    return rows.repartition(*key).groupBy(*key).applyInArrow(_compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, size: int = PRINT, radius: int = RADIUS) -> DataFrame:
