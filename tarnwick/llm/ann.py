@@ -147,8 +147,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     part, nor do rows without an id; shorter vectors count as ending in zeros.
     Equal vectors are searched once, by their smallest id, and expand to their
     own ids at the end.  All rows are indexed; only the centroids are fitted on
-    a bounded sample.  Columns of other names are not read.  An empty table or
-    query set gives no rows.
+    a bounded sample.  Of equal scores the smaller id comes first.  Columns of
+    other names are not read.  An empty table or query set gives no rows.
     """
     spark = vectors.sparkSession
     zero = ~F.exists("vec", lambda x: x != 0)

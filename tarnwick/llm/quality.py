@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     each (one a document at least); the others are measured whole, in tasks,
     and calibrate, weighed to the classes' shares among all training labels.
     The driver gets these blocks and measures of at most 2 * sample rows, never
-    texts.  With one class or none the model is that share alone.
+    texts.  Null texts count as empty: they add no block and measure 0.  With one
+    class or none, or no text to build from, the model is that share alone.
     """
     train = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1) AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 != 1")
     train = train.groupBy("doc_id").agg(F.min("y").alias("y"))

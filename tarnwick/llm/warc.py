@@ -250,8 +250,9 @@ def capture_index(manifest: DataFrame, folder: str, range_rows: int = RANGE_ROWS
     Every record is read, and a response's payload checked against its digest.
     Ranges hold about range_rows entries; captures of one URL may span ranges,
     as time, page and place in the archives are part of the order.  A range's
-    entries are what one task holds; payloads are not among them.  An empty
-    manifest gives no rows.
+    entries are what one task holds; payloads are not among them.  Captures
+    without a page_id come first among those of one URL and time; other columns
+    of the manifest are not read.  An empty manifest gives no rows.
     """
     names = manifest.select("archive")
     n, total = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0))).first()
