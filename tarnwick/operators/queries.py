@@ -72,7 +72,7 @@ WITH n AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS
 SELECT query_id, vec_id, round(score, 8) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """)
 def op_exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest vectors of the stated queries (ids divisible by 50) against all rows, as a fold in the JVM."""
+    """The 5 nearest vectors of the stated queries (ids divisible by 50) against all rows: a matrix product for each pair of blocks rules rows out, the others are scored exactly."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return skew.block_search(e, e.filter("id % 50 = 0"), 5).withColumn("score", F.round("score", 8))
 

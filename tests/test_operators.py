@@ -66,6 +66,37 @@ def test_block_search_equals_a_full_scan(spark):
     assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
 
 
+def test_block_search_scores_copies_alike_and_keeps_odd_vectors_in_order(spark):
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(40)]
+    v = [(i, base[i % 40]) for i in range(1200)] + [(1201, None), (1202, [None] * 64), (1203, [1.0]), (1204, [float("nan")] * 64), (1205, [float("inf")] * 64), (1206, [-float("inf")] * 64), (1250, None), (1300, [1.0]), (None, base[0])]
+    df = spark.createDataFrame(v, "id long, v array<double>").repartition(5)
+
+    def score(w, x):
+        if w is None or x is None or len(w) != len(x) or None in x or None in w:
+            return None
+        s = 0.0
+        for a, b in zip(w, x):
+            s += a * b
+        return s
+
+    place = lambda s: 2 if s is None else (0 if s != s else 1)
+    want = []
+    for q, w in v:
+        if q is not None and q % 50 == 0:
+            scored = [(place(s), -s if place(s) == 1 else 0, i, s) for i, x in v if i is not None and i != q for s in [score(w, x)]]
+            want += [(q, i, repr(s)) for _, _, i, s in sorted(scored, key=lambda t: t[:3])[:35]]
+    for block in (16, 64, 8192):
+        got = skew.block_search(df, df.filter("id % 50 = 0"), 35, block=block).collect()
+        assert sorted((r["query_id"], r["vec_id"], repr(r["score"])) for r in got) == sorted(want)
+
+
+def test_block_search_takes_no_row_of_python_or_lambda_a_pair(spark):
+    df = spark.range(400).selectExpr("id", "array(cast(id as double)) AS v")
+    plan = skew.block_search(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "lambda" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
 def test_bucketed_join_shuffles_neither_side(spark):
     from tarnwick import catalog
 
