@@ -39,3 +39,15 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_null_safe_join_counts_suppliers_before_they_meet_customers(spark, tmp_path):
+    spark.createDataFrame([(i % 50, None if i % 4 == 0 else 3 if i % 4 == 1 else i % 7) for i in range(100)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(None if i % 5 == 0 else i % 6,) for i in range(300)], "s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = catalog.QUERIES["q_join_null_safe"](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("customer", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(catalog.ORACLE_SQL["q_join_null_safe"]).fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]
