@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwick.operators.ordered import written
+
+#: Most tasks of an interval join.
+MAX_TASKS = 20_000
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, take: list[str], bucket: int = 30 * 86_400) -> DataFrame:
     """left with the columns `take` of the last right row of its key at or before its time (null if none).
@@ -33,16 +38,32 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     return out.select("_row.*", *[found[c].alias(c) for c in take])
 
 
-def interval_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+def interval_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float, side: int = 2048) -> DataFrame:
     """Pairs of a point and the spans [low, high) that hold it, as an equi-join on buckets of `width`.
 
     A span is dealt to every bucket that it touches, so width should be about
-    the spans' usual length.
+    the spans' usual length.  Both sides of a bucket are cut into parts of about
+    `side` rows by a hash of the row, and every part of one meets every part of
+    the other in a cell of its own.  Tasks are as many as the pairs to compare
+    ask for: pairs grow faster than bytes, by which Spark would choose.
     """
     bucket = lambda c: F.floor(c / width).cast("long")
-    p = points.withColumn("_bucket", bucket(F.col(point)))
-    s = spans.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    return p.join(s, "_bucket").filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
+    deal = lambda df: F.xxhash64(*df.columns)
+    p = points.filter(F.col(point).isNotNull()).select("*", deal(points).alias("_hash")).withColumn("_bucket", bucket(F.col(point)))
+    s = spans.filter(F.col(low) < F.col(high)).select("*", deal(spans).alias("_hash")).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    # One row a bucket that both sides have.
+    count = lambda df, name: df.groupBy("_bucket").agg(F.count(F.lit(1)).alias(name))
+    sizes = written(count(p, "_p").join(count(s, "_s"), "_bucket"), "interval-buckets")
+    pairs = sizes.agg(F.sum(F.col("_p").cast("double") * F.col("_s"))).first()[0] or 0
+    parts = lambda n: F.ceil(F.col(n) / side).cast("int")
+    sizes = sizes.select("_bucket", parts("_p").alias("_p"), parts("_s").alias("_s"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("_hash", n).cast("int")
+    tasks = min(MAX_TASKS, int(pairs // side**2) + 1)
+    cells = ["_bucket", "_i", "_j"]
+    p = p.join(sizes, "_bucket").withColumn("_i", own("_p")).withColumn("_j", every("_s")).drop("_p", "_s", "_hash").repartition(tasks, *cells)
+    s = s.join(sizes, "_bucket").withColumn("_j", own("_s")).withColumn("_i", every("_p")).drop("_p", "_s", "_hash").repartition(tasks, *cells)
+    return p.join(s, cells).filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(*cells)
 
 
 def recent_count(events: DataFrame, by: str, time: str, hours: int = 1) -> DataFrame:

@@ -42,6 +42,16 @@ def test_interval_join_meets_each_pair_once(spark):
     assert sorted((r["p"], r["s"]) for r in got.collect()) == want
 
 
+def test_interval_join_cuts_a_bucket_of_many_pairs(spark):
+    p, s = [(i, float(i % 3)) for i in range(900)], [(i, float(i % 2), 3.0) for i in range(300)]
+    points, spans = spark.createDataFrame(p, "p long, x double"), spark.createDataFrame(s, "s long, a double, b double")
+    got = temporal.interval_join(points, spans, "x", "a", "b", 100.0, side=64)
+    want = sorted((i, j) for i, x in p for j, a, b in s if a <= x < b)
+    assert sorted((r["p"], r["s"]) for r in got.collect()) == want
+    held = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) > 16 and max(held) < len(want) / 6  # all pairs are of one bucket
+
+
 def test_salted_join_equals_a_plain_one(spark):
     rng = random.Random(6)
     left = [(i, "hot" if i % 3 else rng.choice(["a", "b", None, "gone"])) for i in range(2000)]
