@@ -7,8 +7,10 @@ in SQL what has been closed when the last batch is through.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,25 +54,35 @@ def stream(spark: SparkSession, folder: str, schema, delay: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """The session's setting within it; afterwards what it was before."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ran(df: DataFrame, name: str) -> tuple[DataFrame, list]:
-    """What a query in append mode has written once its files are read, and the progress of its last hundred batches."""
+    """What a query in append mode has written once its files are read, and the progress of its last hundred batches.
+
+    Every batch opens and commits each part of the state.  A batch has ROWS rows
+    however large the table is, so parts are no more than twice the cores.
+    """
     spark = df.sparkSession
     out, state = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-state")
-    q = df.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", state).format("parquet").start(out)
-    q.awaitTermination()
+    key = "spark.sql.shuffle.partitions"
+    with setting(spark, key, str(min(int(spark.conf.get(key)), 2 * spark.sparkContext.defaultParallelism))):
+        q = df.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", state).format("parquet").start(out)
+        q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out), list(q.recentProgress)
 
 
-@contextmanager
 def state_store(spark: SparkSession):
     """Queries that start within it keep their state in RocksDB, which holds more than memory does and has timers and typed state."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def windows(events: DataFrame, width: str) -> DataFrame:
@@ -86,12 +98,15 @@ def first_of_day(events: DataFrame) -> DataFrame:
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a user: runs of rows less than `gap` microseconds apart, with the number of rows and of different types.
-
-    Rows wait in a list until their session can grow no more: a timer of event
-    time fires when the watermark has passed its end.  So rows may come in any
-    order that the watermark allows, and the list holds no more than the open
-    sessions.
+    """Sessions of users: runs of rows less than `gap` microseconds apart, with the number of rows and of different types.
+
+    A key is a group of users, so that a batch takes few calls.  Runs wait in a
+    list until they can grow no more: a timer of event time fires when the
+    watermark has passed the end of one.  Rows may come in any order that the
+    watermark allows; runs that they bring together become one.  The list holds
+    no more than the open sessions, each with its bounds and types; it is one
+    value of state, read and written once a call, as rows of state cost more
+    than all else.
     """
 
     SCHEMA = "user_id long, start long, n long, kinds long"
@@ -101,47 +116,58 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us long, event_type string")
+        self.runs = handle.getValueState("runs", "runs binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = []
         for f in rows:
-            self.rows.appendList([(int(u), None if pd.isna(t) else t) for u, t in zip(f["us"], f["event_type"])])
-        yield from self.settle(key, timerValues)
+            kinds = (() if pd.isna(t) else (t,) for t in f["event_type"])
+            found += [(known, user, us, us, 1, kind) for known, user, us, kind in zip(f["known"].tolist(), f["user_id"].tolist(), f["us"].tolist(), kinds, strict=True)]
+        yield from self.settle(found, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.settle(key, timerValues)
+        yield from self.settle([], timerValues)
 
-    def settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        """Gives out the sessions that have ended, keeps the others, and sets the timer to the first end among them."""
+    def settle(self, found: list, timerValues) -> Iterator[pd.DataFrame]:
+        """Adds the runs found, gives out the sessions that have ended, keeps the others, and sets the timer to the first end among them."""
         runs: list[list] = []
-        for r in sorted(self.rows.get(), key=lambda r: r[0]):
-            if runs and r[0] - runs[-1][-1][0] < self.gap:
-                runs[-1].append(r)
+        held = self.runs.get()
+        for known, user, start, last, n, kinds in sorted([*(pickle.loads(held[0]) if held else ()), *found], key=itemgetter(0, 1, 2)):
+            now = runs[-1] if runs else None
+            if now and now[0] == known and now[1] == user and start - now[3] < self.gap:
+                now[3], now[4] = max(now[3], last), now[4] + n
+                now[5].update(kinds)
             else:
-                runs.append([r])
-        end = lambda run: -(-(run[-1][0] + self.gap) // 1000)
+                runs.append([known, user, start, last, n, set(kinds)])
+        end = lambda run: -(-(run[3] + self.gap) // 1000)
         passed = timerValues.getCurrentWatermarkInMs()
         done = [run for run in runs if end(run) <= passed]
         left = [run for run in runs if end(run) > passed]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if left:
-            self.rows.put([tuple(r) for run in left for r in run])
+            self.runs.update((pickle.dumps([(*run[:5], tuple(run[5])) for run in left]),))
             self.handle.registerTimer(min(map(end, left)))
         else:
-            self.rows.clear()
+            self.runs.clear()
         if done:
-            kinds = [len({r[1] for r in run if r[1] is not None}) for run in done]
-            yield pd.DataFrame({"user_id": key[0], "start": [run[0][0] for run in done], "n": [len(run) for run in done], "kinds": kinds})
+            users = pd.array([run[1] if run[0] else None for run in done], "Int64")
+            yield pd.DataFrame({"user_id": users, "start": [run[2] for run in done], "n": [run[4] for run in done], "kinds": [len(run[5]) for run in done]})
 
     def close(self) -> None:
         pass
 
 
-def sessions(events: DataFrame, gap: int = 30 * 60 * 1_000_000) -> DataFrame:
-    """user_id, start, n, kinds of the ended sessions of a stream with user_id, ts and event_type; state_store() must hold."""
-    rows = events.select("user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
-    found = rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap), Sessions.SCHEMA, "append", "EventTime")
+def sessions(events: DataFrame, gap: int = 30 * 60 * 1_000_000, groups: int = 128) -> DataFrame:
+    """user_id, start, n, kinds of the ended sessions of a stream with user_id, ts and event_type; state_store() must hold.
+
+    Users are dealt to `groups` keys: a call has about that part of a batch's
+    rows and of the open sessions.  Rows without a time are of no session.
+    """
+    user = F.coalesce(F.col("user_id").cast("long"), F.lit(0))
+    rows = events.filter("ts IS NOT NULL").select(F.col("user_id").isNotNull().alias("known"), user.alias("user_id"), "event_type", "ts", F.unix_micros("ts").alias("us"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int"))
+    found = dealt.groupBy("part").transformWithStateInPandas(Sessions(gap), Sessions.SCHEMA, "append", "EventTime")
     return found.withColumn("start", F.timestamp_micros("start"))
 
 
@@ -185,7 +211,7 @@ s AS (SELECT user_id, ts, event_type, sum(b) OVER (PARTITION BY user_id ORDER BY
 SELECT user_id, min(ts) AS start, count(*) AS n, count(DISTINCT event_type) AS kinds FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}
 """)
 def st_session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions kept as lists of rows and closed by timers of event time."""
+    """Open sessions kept in lists and closed by timers of event time."""
     with state_store(spark):
         return _plain(ran(sessions(_events(spark, sf_dir, "1 hour")), "session-timers")[0])
 

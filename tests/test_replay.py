@@ -95,6 +95,19 @@ def test_timers_close_sessions_of_rows_in_any_order_that_the_watermark_allows(sp
     assert any(len(s) > 1 for s in spans.values())
 
 
+def test_open_sessions_are_kept_as_runs_in_few_parts_of_state(spark):
+    rows = [(i, T0 + dt.timedelta(minutes=i // 4), None if i % 4 == 3 else i % 4, "a" if i % 8 < 4 else "b") for i in range(2000)]  # four users that never pause
+    rows += [(5000 + i, T0 + dt.timedelta(days=2, hours=i), 7, None) for i in range(4)]
+    e = spark.createDataFrame([*rows, (9000, None, 1, "a")], SCHEMA)
+    with replay.setting(spark, "spark.sql.shuffle.partitions", "64"), replay.state_store(spark):
+        stream = replay.stream(spark, replay.replay(e, "ts", 6), e.schema, "1 hour")
+        out, progress = replay.ran(replay.sessions(stream), "test-runs")
+    got = collections.Counter(tuple(r) for r in out.withColumn("start", F.col("start").cast("timestamp_ntz")).collect())
+    assert got == brute_sessions(rows, dt.timedelta(minutes=30), max(r[1] for r in rows) - dt.timedelta(hours=1)) and len(got) > 4
+    assert max(rows_in_state(progress)) < 50  # timers included; rows in lists would be hundreds
+    assert {s["numShufflePartitions"] for p in progress for s in p["stateOperators"]} == {2 * spark.sparkContext.defaultParallelism}
+
+
 def test_unmatched_rows_of_an_outer_join_leave_the_state(spark):
     e = events(spark)
     folder = replay.replay(e, "ts", 6, 10_000)
