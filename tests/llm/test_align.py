@@ -116,3 +116,19 @@ def test_links_lists_and_texts_longer_than_a_block(spark, monkeypatch):
         want = [(i, j) for i, lo, hi in a for j, start, end in b if start < hi and end > lo]
         assert [(x >> 32, x & 0xFFFFFFFF) for x in r["links"]] == want
         assert ",".join(g.split("|")[0] for g in r["groups"]) == ",".join(str(x[0]) for x in a)
+
+
+def test_each_stretch_of_a_block_is_tokenised_once(spark):
+    rows = [(i, "alpha beta\nalpha beta") for i in range(50)]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows]).coalesce(1)
+    (block,) = align.tokens(docs, A, B).collect()
+    a, b = BRUTE.spans("alpha beta\nalpha")
+    assert len(block["docs"]) == 50 and len(block["sizes"]) == 3  # " alpha", " beta", "\nalpha"
+    assert (block["a"], block["b"]) == ([x[0] for x in a], [x[0] for x in b])
+    compared(align.alignment(docs, A, B), rows)
+
+
+def test_white_space_at_the_start_of_stretches(spark):
+    texts = ["x\t  y", "x\t\n  y z", "x\n\ny", "x \t\n y", "x\n", "x \n \n", "\n\n", "a   b c", "!\x1c !", "a▁ b", "a ▁b c", "a　 b", "x \n\ny", "it 's\n't", "q ́w \ń", "x\r\n\r\ny", "  lead\n  in"]
+    rows = list(enumerate(texts * 2))
+    compared(align.alignment(frame(spark, [(i, t, "en", "s", 0) for i, t in rows]).coalesce(2), A, B), rows)
